@@ -13,14 +13,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a fresh local one, remembered in the session, where none is named."""
-    found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
+    """The shared folder named by the session; a fresh local one, kept for the application, where none is named."""
+    found = spark.sparkContext.getConf().get(KEY) or spark.conf.get(KEY, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weftline-shared-")
-        spark.conf.set(KEY, found)
+        app = spark.sparkContext.applicationId
+        found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="weftline-shared-")
+        _own[app] = found
     return found.rstrip("/")
 
 
