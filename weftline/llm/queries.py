@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import encode_decode
+from weftline.llm.decontaminate import find_leaks
 from weftline.llm.neardup import near_duplicates
+from weftline.llm.quality import score, train
 from weftline.llm.token_counts import at_limits, length_histogram
 from weftline.session import table
 
@@ -26,18 +28,32 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages found in documents, with their place and number of edits."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups over four-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its scores and the decision at 0.5."""
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.withColumn("kept", F.col("score") >= 0.5)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals at every length that occurs as a context limit."""
     return at_limits(length_histogram(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_encode_decode, op5_minhash_near_dedup, op9_token_counts)
+    f.__name__: f for f in (
+        op2_bpe_encode_decode, op3_benchmark_decontamination, op5_minhash_near_dedup, op6_quality_classifier, op9_token_counts,
+    )
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
