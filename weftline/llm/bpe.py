@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from weftline.llm.batches import text_chunks
 
-MAX_PIECES = 250_000
-MAX_PAIRS = 500_000
-CHUNK = 12 << 20
+MAX_PIECES = 120_000
+MAX_WORDS = 60_000
+MAX_PAIRS = 300_000
+CHUNK = 6 << 20
 NEVER = 1 << 60
 
 
@@ -193,7 +194,7 @@ class Codec:
 
     def _learn_words(self, words: set[str]) -> None:
         """Encode distinct pre-tokens, the new ones by one depth-first walk."""
-        if len(self.words) > self.max_pieces:
+        if len(self.words) > MAX_WORDS:
             self.old_words, self.words = self.words, {}
         now, old, digits, data = self.words, self.old_words, self.digits, self.bytes
         new = []
