@@ -113,7 +113,9 @@ class _Reader(DataSourceReader):
         last = bisect_right(ends, r.first + r.count - 1)
         return v, ends[v : last + 1].tolist()
 
-    def read(self, r: Range):
+    def read(self, r: Range | None):
+        if r is None:  # no items
+            return
         with _open(self.path) as f:
             if self.layout == "string":
                 yield (f.read_at(r.count, r.at),)
