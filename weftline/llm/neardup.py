@@ -9,7 +9,8 @@
 3.  Bands of registers put classes into buckets.  Buckets never expand into all pairs: each class is first compared
     with one leader, links are grouped by union-find, and a bucket whose members then agree on their group is done.
     In the others, members outside the largest group become leaders in growing numbers until the bucket is settled, so
-    every pair of a bucket is compared or already connected, whatever the size of the bucket.
+    every pair of a bucket is compared, already connected, or too far apart by a bound on its overlap, whatever the
+    size of the bucket.
 4.  A pair is a link only if its full sets confirm it.
 """
 
@@ -112,18 +113,27 @@ def _sets(n: int):
     return run
 
 
-def _verify(percent: int):
+def _verify(percent: int, rest: bool):
+    """Pairs whose full sets are similar enough; with ``rest`` all pairs, a flag, and the items of b that a lacks
+    (null where those are most of them)."""
+
     def run(batches):
         for batch in batches:
             left, right = (batch.column(i) for i in (2, 3))
-            good = np.zeros(batch.num_rows, bool)
+            good, lacking = np.zeros(batch.num_rows, bool), []
             for i in range(batch.num_rows):
                 a, b = np.frombuffer(left[i].as_buffer(), U), np.frombuffer(right[i].as_buffer(), U)
-                at = np.searchsorted(a, b)
-                same = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+                shared = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+                same = int(shared.sum())
                 good[i] = 100 * same >= percent * (len(a) + len(b) - same)
+                if rest:
+                    lacking.append(b[~shared].view(np.int64) if 2 * same >= len(b) else None)
             mask = pa.array(good)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            if rest:
+                cols = [batch.column(0), batch.column(1), mask, pa.array(lacking, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "linked", "rest"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return run
 
@@ -164,8 +174,8 @@ def near_duplicates(
 def _links(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links ``(a, b)`` between classes that connect all that the buckets can connect."""
     spread = classes.select("rep", "size", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min(F.struct("rep", "size")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    member = stash.keep(spread.join(shared.select("key", "lead"), "key"), "buckets")
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    member = stash.keep(spread.join(shared, "key"), "buckets")
     wanted = classes.join(member.select("rep").distinct(), "rep", "left_semi").select(F.col("id").alias("doc_id")).distinct()
     texts = base.join(wanted, base["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     sets = stash.keep(texts.mapInArrow(_sets(n), "rep binary, items binary").dropDuplicates(["rep"]), "sets")
@@ -173,37 +183,62 @@ def _links(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent: i
     def alike(a: str, b: str):
         return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (F.least(a, b) > 0)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, rest: bool = False) -> DataFrame:
         left = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_verify(percent), "a binary, b binary")
+        return both.mapInArrow(_verify(percent, rest), "a binary, b binary" + ", linked boolean, rest array<bigint>" * rest)
+
+    # First each class against one leader.  The class whose buckets hold most others is the centre of a group of copies:
+    # it leads its buckets, and a class takes the greatest leader that its buckets offer and its size allows.
+    drawn = member.groupBy("rep", "size").agg(F.sum("k").alias("pull"))
+    crowd = member.select("key", "rep").join(drawn, "rep")
+    lead = crowd.groupBy("key").agg(F.max(F.struct("pull", "rep", "size")).alias("lead"))
+    first = member.select("key", "rep", "size").join(lead, "key").where((F.col("rep") != F.col("lead.rep")) & alike("size", "lead.size"))
+    first = first.groupBy("rep").agg(F.max("lead").alias("lead")).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
+    star = stash.keep(verified(first, rest=True), "star")
+    links = stash.keep(star.where("linked").select("a", "b"), "links")
+    tested = stash.keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tested")
+    # What a class holds of items that neither its leader nor any other class of that leader has bounds its overlap with
+    # all of them: a copy with many changes of its own cannot be a link of another copy, and is never compared.
+    own = star.select("a", "b", F.explode("rest").alias("x")).groupBy("a", "x").agg(F.count(F.lit(1)).alias("c"), F.min("b").alias("b"))
+    own = own.where("c = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"))
+    about = star.where("rest IS NOT NULL").select("a", "b").join(own, ["a", "b"], "left").select(F.col("b").alias("rep"), F.col("a").alias("ref"), F.coalesce("own", F.lit(0)).alias("own"))
+    about = stash.keep(about, "own")
+    member = stash.keep(member.drop("k").join(about, "rep", "left").select("key", "rep", "size", F.coalesce("ref", "rep").alias("ref"), F.coalesce("own", F.lit(0)).alias("own")), "members")
+
+    def within(size: str, own: str, other: str):
+        """Whether an overlap of all but the own items would do for a partner of that size."""
+        return (F.col(size) - F.col(own)) * 100 >= (F.col(other) + F.col(own)) * percent
 
-    # First each class against one leader, the smallest that any of its buckets offers and that its size allows.
-    first = member.where((F.col("rep") != F.col("lead.rep")) & alike("size", "lead.size"))
-    first = first.groupBy("rep").agg(F.min("lead.rep").alias("a")).select("a", F.col("rep").alias("b"))
-    tested = stash.keep(first, "pairs")
-    links = stash.keep(verified(tested), "links")
     done, leaders = None, 8
     while True:
         comp = components(links, "a", "b").select(F.col("v").alias("rep"), "comp")
-        now = member.select("key", "rep", "size").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        now = member.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         now = stash.keep(now.join(split, "key"), "open")
-        fresh = now.join(done, ["key", "rep"], "left_anti") if done is not None else now
+        usual = now.groupBy("key", "ref").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "ref")).alias("r"))
+        usual = usual.select("key", F.col("r.ref").alias("usual"))
+        seen = now.join(usual, "key").withColumn("inner", (F.col("ref") == F.col("usual")) | (F.col("rep") == F.col("usual")))
+        low = seen.groupBy("key").agg(F.min("size").alias("low"), F.bool_and("inner").alias("closed"))
+        fresh = seen.join(low, "key").where(~(F.col("closed") & ~within("size", "own", "low")))
+        fresh = fresh.join(done, ["key", "rep"], "left_anti") if done is not None else fresh
         count = fresh.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
         main = count.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"))
         minor = fresh.join(main.select("key", F.col("m.comp").alias("main")), "key").where("comp <> main")
         order = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
         minor = minor.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders)
-        lead = stash.keep(minor.select("key", F.col("rep").alias("l"), F.col("size").alias("ls"), F.col("comp").alias("lc")), "lead")
+        lead = minor.select("key", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "comp", "ref", "own")])
+        lead = stash.keep(lead, "lead")
         if lead.isEmpty():
             return links
-        pairs = lead.join(now, "key").where((F.col("comp") != F.col("lc")) & alike("size", "ls"))
-        pairs = pairs.select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")).distinct()
+        apart = (F.col("comp") != F.col("l_comp")) & alike("size", "l_size")
+        bound = (F.col("ref") != F.col("l_ref")) | (within("size", "own", "l_size") & within("l_size", "l_own", "size"))
+        pairs = lead.join(now, (lead["key"] == now["key"]) & apart & bound)
+        pairs = pairs.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct()
         pairs = stash.keep(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = stash.keep(links.union(verified(pairs)), "links")
         tested = stash.keep(tested.union(pairs), "tested")
-        turn = lead.select("key", F.col("l").alias("rep"))
+        turn = lead.select("key", F.col("l_rep").alias("rep"))
         done = stash.keep(turn if done is None else done.union(turn), "done")
         leaders *= 8
