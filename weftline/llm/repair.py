@@ -14,6 +14,7 @@ of uint32; expansion lengths uint32; symbols uint16 or uint32; positions uint64.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.batches import text_chunks
+from weftline.llm.bpe import byte_alphabet
 from weftline.llm.files import RangeReader, ShardWriter
 from weftline.plans.shared import Stash, fresh_path
 
@@ -35,7 +37,7 @@ STRIDE = 256
 ROUNDS = 6
 LEAST_SAVED = 0.02
 MOST_RULES = 16_000
-MAX_WORDS = 150_000
+MAX_WORDS = 250_000
 CHUNK = 4 << 20
 
 
@@ -108,16 +110,21 @@ class Segment:
         self.symbols = np.frombuffer(data, f"<u{width}", n, at)
         self.starts = np.frombuffer(data, "<u8", -(-n // self.stride), at + width * n).astype(np.int64)
 
+        # Every symbol's ids one after another; every pass opens the outermost rules of all of them.
+        run = np.arange(self.base + rules)
+        while (deep := run >= self.base).any():
+            out = np.empty(len(run) + int(deep.sum()), np.int64)
+            at = np.arange(len(run)) + np.cumsum(deep) - deep
+            out[at] = np.where(deep, self.rules[np.where(deep, run - self.base, 0), 0] if rules else 0, run)
+            out[at[deep] + 1] = self.rules[run[deep] - self.base, 1]
+            run = out
+        self.flat, self.place = run.astype("<u4"), np.cumsum(self.size) - self.size
+
     def expand(self, s: np.ndarray) -> np.ndarray:
-        """Ids of a run of symbols: every pass opens the outermost rules of all of them."""
-        s = s.astype(np.int64)
-        while len(s) and (deep := s >= self.base).any():
-            out = np.empty(len(s) + int(deep.sum()), np.int64)
-            at = np.arange(len(s)) + np.cumsum(deep) - deep
-            out[at] = np.where(deep, self.rules[np.where(deep, s - self.base, 0), 0], s)
-            out[at[deep] + 1] = self.rules[s[deep] - self.base, 1]
-            s = out
-        return s
+        """Ids of a run of symbols."""
+        size = self.size[s]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.place[s] - ends + size, size) + np.arange(int(ends[-1]) if len(s) else 0)]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` (not included), from the symbols that cover them."""
@@ -130,44 +137,64 @@ class Segment:
         a = int(np.searchsorted(ends, start - self.starts[mark], "right"))
         b = int(np.searchsorted(ends, stop - self.starts[mark], "left")) + 1
         skip = start - int(self.starts[mark]) - (int(ends[a - 1]) if a else 0)
-        return self.expand(run[a:b])[skip : skip + stop - start].astype("<u4")
+        return self.expand(run[a:b])[skip : skip + stop - start]
+
+
+#: Pieces of these characters are normal in form and are cut by PLAIN as the library would; all others are left to it.
+SAFE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
+
+
+class _Pieces(dict):
+    """Ids of pieces met lately; ``old`` holds those met before that, and what is in use moves over."""
+
+    def __init__(self, encoder: WordEncoder):
+        self.encoder, self.old = encoder, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            ids = self.encoder.piece(piece)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = found
+        return found
 
 
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct stretch without blanks or line ends once in a while.
 
-    The vocabulary drops white space and no token crosses it, so the ids of a text are those of its stretches.
+    The vocabulary drops white space and no token crosses it, so the ids of a text are those of its stretches.  Stretches
+    of plain letters and marks go to the library's merge model directly; all others take its whole way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MAX_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model, self.most = self.tokenizer.model, most
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+        self.pieces = _Pieces(self)
+
+    def piece(self, piece: str) -> list[int]:
+        if "<|" in piece or not SAFE(piece):
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        out: list[int] = []
+        for w in PLAIN(piece.lower()):
+            word = w if w.isascii() else w.encode().decode("latin-1").translate(self.shown)
+            out += [t.id for t in self.model.tokenize(word)]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.now) > MAX_WORDS:
-            self.old, self.now = self.now, {}
-        new = []
-        for p in {p for ps in parts for p in ps}:
-            if p not in self.now:
-                if p in self.old:
-                    self.now[p] = self.old[p]
-                else:
-                    new.append(p)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.now[p] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.now.__getitem__
-        return [b"".join(map(get, ps)) for ps in parts]
+        if len(self.pieces) > self.most:
+            before, self.pieces = self.pieces, _Pieces(self)
+            before.old = {}
+            self.pieces.old = before
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
 @lru_cache(maxsize=2)
