@@ -15,6 +15,7 @@ from weftline.functions import bits
 from weftline.functions import geometry as g
 from weftline.operators import aggregate, distinct, geometry, graph, order, scan, sequence, spatial, text
 from weftline.operators.components import components
+from weftline.plans.fixpoint import iterate, reserve_and_commit
 from weftline.sources import binary, generators
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
@@ -137,6 +138,13 @@ def test_strategies_agree_on_a_random_graph(spark):
         assert run(True) == run(False)
 
 
+def test_iterate_and_reservations(spark):
+    grown = iterate(spark.range(1).select(F.lit(1).alias("x")), lambda s, k: s.select((F.col("x") * 3).alias("x")), lambda s, k: s.first().x < 100)
+    assert grown.first().x == 243
+    items = spark.createDataFrame([(0, ["a", "b"]), (1, ["b", "c"]), (2, ["c"]), (3, []), (4, ["c", "d"]), (5, None)], "id bigint, keys array<string>")
+    assert ids(reserve_and_commit(items)) == [0, 2, 3, 5]
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()))

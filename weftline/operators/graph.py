@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import components
-from weftline.plans.fixpoint import in_one_task, is_small
+from weftline.plans.fixpoint import in_one_task, is_small, reserve_and_commit
 from weftline.plans.shared import Stash
 
 
@@ -120,17 +120,7 @@ def maximal_matching(edges: DataFrame, small: bool | None = None) -> DataFrame:
             return {"id": out}
 
         return in_one_task(rows, kernel, "id bigint")
-    stash = Stash(edges.sparkSession)
-    left, chosen = stash.keep(rows, "left"), None
-    while not left.isEmpty():
-        ends = left.select("id", F.explode(F.array("u", "v")).alias("x"))
-        least = ends.groupBy("x").agg(F.min("id").alias("id"))
-        won = least.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("id")
-        pairs = stash.keep(left.join(won, "id", "left_semi"), "won")
-        chosen = stash.keep(pairs.select("id") if chosen is None else chosen.union(pairs.select("id")), "matched")
-        gone = pairs.select(F.explode(F.array("u", "v")).alias("x"))
-        left = stash.keep(left.join(gone, F.col("u") == F.col("x"), "left_anti").join(gone, F.col("v") == F.col("x"), "left_anti"), "left")
-    return rows.select("id").limit(0) if chosen is None else chosen
+    return reserve_and_commit(rows.select("id", F.array("u", "v").alias("keys")))
 
 
 def minimum_spanning_forest(edges: DataFrame, weight: str = "w", small: bool | None = None) -> DataFrame:

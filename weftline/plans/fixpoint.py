@@ -51,6 +51,25 @@ def in_one_task(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, lis
     return df.coalesce(1).mapInArrow(run, struct)
 
 
-def flag(df: DataFrame, condition) -> bool:
-    """Whether any row meets a condition."""
-    return not df.where(condition).limit(1).isEmpty() if isinstance(condition, str) else not df.where(F.expr(str(condition)) if not hasattr(condition, "_jc") else condition).limit(1).isEmpty()
+def reserve_and_commit(items: DataFrame, keys: str = "keys", max_rounds: int = 10_000) -> DataFrame:
+    """``id`` of the items that a sequential pass in id order would commit, when an item needs all its ``keys`` unused.
+
+    Every round all remaining items reserve their keys, the smallest id wins each key, and an item that wins all of its
+    own commits; items that share a key with a committed one are out.  An item without keys commits.
+    """
+    stash = Stash(items.sparkSession)
+    rows = items.select("id", F.array_distinct(keys).alias("keys"))
+    free = rows.where("coalesce(size(keys), 0) <= 0").select("id")
+    left, chosen = stash.keep(rows.where("size(keys) > 0"), "left"), free
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            return chosen
+        each = left.select("id", F.size("keys").alias("need"), F.explode("keys").alias("key"))
+        held = each.groupBy("key").agg(F.min("id").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("won"))
+        won = stash.keep(left.join(held, "id").where("won = size(keys)").select("id", "keys"), "won")
+        chosen = stash.keep(chosen.union(won.select("id")), "chosen")
+        out = each.join(won.select(F.explode("keys").alias("key")), "key", "left_semi").select("id").distinct()
+        after = stash.keep(left.join(out, "id", "left_anti"), "left")
+        stash.drop(left)
+        left = after
+    raise RuntimeError(f"items did not settle in {max_rounds} rounds")
