@@ -1,7 +1,7 @@
 """Quality classifier by co-training over two views.
 
 The content view is computed from the whole text: character-trigram frequencies hashed into a fixed number of columns,
-and shares of letters, capitals, digits, marks and repeats.  The metadata view uses the other columns: language,
+shares of letters, capitals, digits, marks and repeats, and word statistics.  The metadata view uses the other columns: language,
 source and length.  Each view has a logistic regression.  In each round either view labels the unlabelled documents it
 is most sure of, and the other view learns from those labels too.  At the end both are calibrated on labelled documents
 held out from training, and their calibrated log-odds are combined into one score.
@@ -12,6 +12,8 @@ Scoring reads every document once, without a shuffle.
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,6 +24,7 @@ from weftline.llm.batches import text_chunks
 
 MAX_LABELLED = 6000
 MAX_POOL = 3000
+DAMPING = 20
 TRIGRAMS = 256
 META = 64
 ROUNDS = 3
@@ -41,10 +44,13 @@ KINDS = _classes()
 
 
 def content_features(texts: list[str | None]) -> np.ndarray:
-    """One row for each whole text: trigram frequencies, then shares of character kinds, repeats and the log length."""
+    """One row for each whole text: trigram frequencies, shares of character kinds and repeats, word statistics, log length.
+
+    Frequencies are damped by a constant in the denominator, so that a short text is near the origin and not an extreme.
+    """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(r) for r in raw])
-    out = np.zeros((len(raw), TRIGRAMS + 9), np.float32)
+    out = np.zeros((len(raw), TRIGRAMS + 12), np.float32)
     total = int(sizes.sum())
     if not total:
         return out
@@ -52,18 +58,24 @@ def content_features(texts: list[str | None]) -> np.ndarray:
     who = np.repeat(np.arange(len(raw)), sizes)
     kind = KINDS[b]
     shares = np.bincount(who * 6 + kind, minlength=len(raw) * 6).reshape(len(raw), 6)
-    many = np.maximum(sizes, 1)
+    many = sizes + DAMPING
     if total > 2:
         inside = who[2:] == who[:-2]
         low = np.where(kind == 1, b + 32, b)
         gram = ((low[2:] * 31 + low[1:-1]) * 31 + low[:-2]) * 0x9E3779B1 >> 12 & TRIGRAMS - 1
         grams = np.bincount((who[2:] * TRIGRAMS + gram)[inside], minlength=len(raw) * TRIGRAMS).reshape(len(raw), TRIGRAMS)
-        out[:, :TRIGRAMS] = np.sqrt(grams / many[:, None])
+        out[:, :TRIGRAMS] = np.sqrt(grams / (many + 9 * DAMPING)[:, None])
         twice = (b[1:] == b[:-1]) & (who[1:] == who[:-1])
         thrice = twice[1:] & twice[:-1]
         out[:, -3] = np.bincount(who[1:][twice], minlength=len(raw)) / many
         out[:, -2] = np.bincount(who[2:][thrice], minlength=len(raw)) / many
     out[:, TRIGRAMS : TRIGRAMS + 6] = shares / many[:, None]
+    for i, r in enumerate(raw):
+        words = r.split()
+        n = len(words)
+        out[i, TRIGRAMS + 6] = sum(map(eq, words, words[1:])) / (n + 5)
+        out[i, TRIGRAMS + 7] = len(set(words)) / (n + 5)
+        out[i, TRIGRAMS + 8] = sizes[i] / (10 * n + 50)
     out[:, -1] = np.log1p(sizes) / 10
     return out
 
