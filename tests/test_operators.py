@@ -132,6 +132,7 @@ def test_strategies_agree_on_a_random_graph(spark):
     for run in (
         lambda s: ids(graph.maximal_independent_set(v, e, small=s), "v"),
         lambda s: ids(graph.maximal_matching(e, small=s)),
+        lambda s: sorted(map(tuple, graph.connected_components(v, e, small=s).collect())),
         lambda s: ids(graph.minimum_spanning_forest(e, small=s)),
         lambda s: sorted(map(tuple, graph.bfs(graph.both_ways(e), 0, small=s).collect())),
     ):

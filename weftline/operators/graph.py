@@ -66,9 +66,36 @@ def reachable(directed: DataFrame, start: int) -> DataFrame:
     return bfs(directed, start).select("v")
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, id: str = "id") -> DataFrame:
+def _union_find(pairs) -> tuple[dict[int, int], list[bool]]:
+    """Roots after linking all pairs, smallest vertex on top, and whether each pair linked two components."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    linked = []
+    for u, v in pairs:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+        linked.append(a != b)
+    return {x: find(x) for x in list(root)}, linked
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame, id: str = "id", small: bool | None = None) -> DataFrame:
     """``(v, comp)`` for every vertex, isolated ones included; ``comp`` is the smallest vertex of the component."""
-    return vertices.select(F.col(id).alias("v")).join(components(edges), "v", "left").select("v", F.coalesce("comp", "v").alias("comp"))
+    if is_small(edges) if small is None else small:
+
+        def kernel(e):
+            roots, _ = _union_find(zip(e["u"], e["v"], strict=True))
+            return {"v": list(roots), "comp": list(roots.values())}
+
+        named = in_one_task(edges.select("u", "v"), kernel, "v bigint, comp bigint")
+    else:
+        named = components(edges)
+    return vertices.select(F.col(id).alias("v")).join(named, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"))
 
 
 def maximal_independent_set(vertices: DataFrame, edges: DataFrame, id: str = "id", small: bool | None = None) -> DataFrame:
@@ -129,21 +156,9 @@ def minimum_spanning_forest(edges: DataFrame, weight: str = "w", small: bool | N
     if is_small(rows) if small is None else small:
 
         def kernel(e):
-            root: dict[int, int] = {}
-
-            def find(x):
-                while root.setdefault(x, x) != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            out = []
-            for _, i, u, v in sorted(zip(e["w"], e["id"], e["u"], e["v"], strict=True)):
-                a, b = find(u), find(v)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    out.append(i)
-            return {"id": out}
+            order = sorted(zip(e["w"], e["id"], e["u"], e["v"], strict=True))
+            _, linked = _union_find((u, v) for _, _, u, v in order)
+            return {"id": [x[1] for x, taken in zip(order, linked, strict=True) if taken]}
 
         return in_one_task(rows, kernel, "id bigint")
     stash = Stash(edges.sparkSession)
