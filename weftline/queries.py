@@ -588,7 +588,7 @@ def q53_refine(spark, d):
     t = geometry.refine(p)
     a, b, c = (g.vec(k) for k in "abc")
     box = p.agg((F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) * 1.5).alias("side"))
-    out = t.agg(F.count_if(g.min_angle_below(a, b, c, 25.999)).alias("thin"), (F.sum(g.triangle_area(a, b, c)) / 2).alias("area"))
+    out = t.agg(F.count_if(g.min_angle_below(a, b, c, 29.999)).alias("thin"), (F.sum(g.triangle_area(a, b, c)) / 2).alias("area"))
     return out.join(box).select("thin", (F.abs(F.col("area") / (F.col("side") * F.col("side")) - 1) < 1e-6).alias("covers"))  # one row each
 
 
