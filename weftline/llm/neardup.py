@@ -205,7 +205,8 @@ def _links(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent: i
     own = own.where("c = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"))
     about = star.where("rest IS NOT NULL").select("a", "b").join(own, ["a", "b"], "left").select(F.col("b").alias("rep"), F.col("a").alias("ref"), F.coalesce("own", F.lit(0)).alias("own"))
     about = stash.keep(about, "own")
-    member = stash.keep(member.drop("k").join(about, "rep", "left").select("key", "rep", "size", F.coalesce("ref", "rep").alias("ref"), F.coalesce("own", F.lit(0)).alias("own")), "members")
+    drawn_from, member = member, stash.keep(member.drop("k").join(about, "rep", "left").select("key", "rep", "size", F.coalesce("ref", "rep").alias("ref"), F.coalesce("own", F.lit(0)).alias("own")), "members")
+    stash.drop(drawn_from)
 
     def within(size: str, own: str, other: str):
         """Whether an overlap of all but the own items would do for a partner of that size."""
@@ -231,14 +232,21 @@ def _links(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent: i
         lead = minor.select("key", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "comp", "ref", "own")])
         lead = stash.keep(lead, "lead")
         if lead.isEmpty():
+            for table in (member, sets, star, tested, about, done, now, lead):
+                if table is not None:
+                    stash.drop(table)
             return links
         apart = (F.col("comp") != F.col("l_comp")) & alike("size", "l_size")
         bound = (F.col("ref") != F.col("l_ref")) | (within("size", "own", "l_size") & within("l_size", "l_own", "size"))
         pairs = lead.join(now, (lead["key"] == now["key"]) & apart & bound)
         pairs = pairs.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct()
         pairs = stash.keep(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        turn = lead.select("key", F.col("l_rep").alias("rep"))
+        old = [links, tested, done, now, lead, pairs]
         links = stash.keep(links.union(verified(pairs)), "links")
         tested = stash.keep(tested.union(pairs), "tested")
-        turn = lead.select("key", F.col("l_rep").alias("rep"))
         done = stash.keep(turn if done is None else done.union(turn), "done")
+        for table in old:
+            if table is not None:
+                stash.drop(table)
         leaders *= 8
