@@ -358,6 +358,17 @@ def test_url_decisions_travel(spark):
     assert urls.filter_urls(df.limit(0), URL_RULES).count() == 0 and urls.filter_urls(df, []).where("rule IS NOT NULL").count() == 0
 
 
+def test_long_rule_lists_decide_alike(spark, monkeypatch):
+    rng = random.Random(8)
+    hosts, paths = ["com", "a.com", "b.a.com", "net", "x.net", "A.com"], ["/", "/e", "/en/", "/en/7", "", "/d"]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(hosts[:5]), rng.choice(paths)) for _ in range(12)]
+    rows = [(i, f"http://{rng.choice(hosts + ['q.com', 'org', ''])}{rng.choice(paths)}{rng.choice(['', 'x', '/en/77', '?q', '#f'])}", None) for i in range(120)]
+    df = spark.createDataFrame([*rows, (500, None, None)], "page_id bigint, url string, html string")
+    short = sorted(map(str, urls.filter_urls(df, rules).collect()))
+    monkeypatch.setattr(urls, "COMPILED", 3)
+    assert sorted(map(str, urls.filter_urls(df, rules).collect())) == short
+
+
 # media --------------------------------------------------------------------------------------------------------------
 
 

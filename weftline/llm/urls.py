@@ -11,6 +11,8 @@ and never shuffled.  Built-in functions only.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ CANONICAL = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 TARGET = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
-MAX_RULES = 2000
+COMPILED = 200  # rules up to which they are part of the expression; longer lists are a table that is joined
 
 
 def split_url(url: str) -> tuple[Column, Column, Column]:
@@ -51,12 +53,32 @@ def judged(urls: DataFrame, url: str, rules: list[tuple[str, str, str]]) -> Data
     """``urls`` with the columns host, path, query, rule and verdict of the rules alone (null where none fits)."""
     host, path, query = split_url(url)
     out = urls.withColumn("host", host).withColumn("path", path).withColumn("query", query)
+    if len(rules) > COMPILED:
+        return _joined(out, rules)
     out = out.withColumn("__n", rule_number(F.col("host"), F.col("path"), rules))
     said = [F.array(*[F.lit(x) for x in xs]) if rules else F.array().cast("array<string>") for xs in ([h + p for _, h, p in rules], [v for v, _, _ in rules])]
     out = out.withColumn("rule", F.when(F.col("__n").isNotNull(), F.get(said[0], F.col("__n"))))
     return out.withColumn("verdict", F.when(F.col("__n").isNotNull(), F.get(said[1], F.col("__n")))).drop("__n")
 
 
+def _joined(out: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """The same for long lists: each distinct (host, path) asks for its host suffixes with its path prefixes of the
+    lengths that rules have, an equi-join, and keeps the longest answer; no URL meets a rule that does not fit."""
+    kind = "array<struct<n int, v string, h string, p string>>"
+    listed = F.from_json(F.lit(json.dumps([{"n": i, "v": v, "h": h, "p": p} for i, (v, h, p) in enumerate(rules)])), kind)
+    table = out.sparkSession.range(1).select(F.explode(listed).alias("r")).select("r.*").withColumn("at", F.md5(F.concat("h", F.lit("/"), "p")))
+    sizes = F.array(*[F.lit(x) for x in sorted({len(p) for _, _, p in rules})])
+    places = out.select("host", "path").where("host <> ''").distinct()
+    labels = F.split("host", r"\.")
+    suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = places.select("host", "path", F.explode(suffix).alias("s"))
+    asked = asked.select("host", "path", "s", F.explode(F.filter(sizes, lambda n: n <= F.length("path"))).alias("n"))
+    asked = asked.select("host", "path", F.md5(F.concat("s", F.lit("/"), F.substring("path", F.lit(1), F.col("n")))).alias("at"))
+    best = F.max(F.struct(F.length(F.concat("h", "p")), F.length("h"), -F.col("n"), F.concat("h", "p").alias("rule"), F.col("v").alias("verdict"))).alias("b")
+    found = asked.join(table, "at").groupBy("host", "path").agg(best).select("host", "path", "b.rule", "b.verdict")
+    return out.join(found, ["host", "path"], "left")
+
+
 def address(host: Column, path: Column, query: Column) -> Column:
     """Key of an address: scheme and fragment do not count."""
     return F.md5(F.concat(host, path, query))
@@ -91,8 +113,6 @@ def filter_urls(
     ``default``.  A null URL or one without ``://`` has empty host and path, no rule and no alias, and is allowed; null
     pages have no links; repeated rows are judged alike; an empty table gives none; other columns are left out.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules are compiled into a plan")
     rules = [(v, h.translate(str.maketrans(UPPER, LOWER)), p) for v, h, p in rules]
     stash = Stash(pages.sparkSession)
     base = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
