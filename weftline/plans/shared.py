@@ -7,6 +7,8 @@ every executor, and no larger than the rows in it.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,8 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get(KEY) or spark.conf.get(KEY, None)
     if not found:
         app = spark.sparkContext.applicationId
-        found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="weftline-shared-")
-        _own[app] = found
+        if app not in _own:
+            folder = tempfile.mkdtemp(prefix="weftline-shared-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[app] = f"file://{folder}"
+        found = _own[app]
     return found.rstrip("/")
 
 
