@@ -8,9 +8,9 @@
 2.  Documents with equal sets collapse into one class, named by the digest.
 3.  Bands of registers put classes into buckets.  Buckets never expand into all pairs: each class is first compared
     with one leader, links are grouped by union-find, and a bucket whose members then agree on their group is done.
-    In the others, members outside the largest group become leaders in growing numbers until the bucket is settled, so
-    every pair of a bucket is compared, already connected, or too far apart by a bound on its overlap, whatever the
-    size of the bucket.
+    In the others more members become leaders, in growing numbers, until the bucket is settled, so
+    every pair of a bucket is compared, already connected, or too far apart by its items beside those of a common
+    leader, whatever the size of the bucket.
 4.  A pair is a link only if its full sets confirm it.
 """
 
@@ -26,7 +26,7 @@ from weftline.llm.batches import text_chunks
 from weftline.operators.components import components
 from weftline.plans.shared import Stash
 
-ROWS, BANDS = 3, 24
+ROWS, BANDS = 4, 32
 U = np.uint64
 CHUNK = 2 << 20
 
@@ -145,7 +145,7 @@ def near_duplicates(
 
     Returns ``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``; other columns are left out.
     ``component_id`` is the smallest id reachable over links, ``kept`` marks the document that bears it.  With the
-    default bands a link at exactly 0.8 is found with probability 1 - 4e-8, closer ones more surely.
+    default bands a link at exactly 0.8 is found with probability 1 - 5e-8, closer ones more surely.
 
     A null or empty text has no shingles and is linked with nothing: its component is its own id.  Rows are grouped by
     text, so repeated rows fall into one group and all bear the smallest id (all are kept; they are one document), and
@@ -161,8 +161,7 @@ def near_duplicates(
     classes = stash.keep(
         classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes"
     )
-    links = _links(stash, base, classes, n, percent)
-    group = classes.select("rep", "id").join(components(links, "a", "b").withColumnRenamed("v", "rep"), "rep", "left")
+    group = classes.select("rep", "id").join(_groups(stash, base, classes, n, percent), "rep", "left")
     group = stash.keep(group.select("rep", "id", F.coalesce("comp", "rep").alias("comp")), "groups")
     least = group.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = group.join(least, "comp").select(F.col("rep").alias("digest"), "component_id")
@@ -171,13 +170,14 @@ def near_duplicates(
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Verified links ``(a, b)`` between classes that connect all that the buckets can connect."""
+def _groups(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """``(rep, comp)`` of the classes with a verified link, over links that connect all that the buckets can connect."""
     spread = classes.select("rep", "size", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     member = stash.keep(spread.join(shared, "key"), "buckets")
     wanted = classes.join(member.select("rep").distinct(), "rep", "left_semi").select(F.col("id").alias("doc_id")).distinct()
-    texts = base.join(wanted, base["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    # Candidates grow with the input: both sides are shuffled at every size, never broadcast.
+    texts = base.join(wanted.hint("merge"), base["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     sets = stash.keep(texts.mapInArrow(_sets(n), "rep binary, items binary").dropDuplicates(["rep"]), "sets")
 
     def alike(a: str, b: str):
@@ -199,20 +199,34 @@ def _links(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent: i
     star = stash.keep(verified(first, rest=True), "star")
     links = stash.keep(star.where("linked").select("a", "b"), "links")
     tested = stash.keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tested")
-    # What a class holds of items that neither its leader nor any other class of that leader has bounds its overlap with
-    # all of them: a copy with many changes of its own cannot be a link of another copy, and is never compared.
-    own = star.select("a", "b", F.explode("rest").alias("x")).groupBy("a", "x").agg(F.count(F.lit(1)).alias("c"), F.min("b").alias("b"))
-    own = own.where("c = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"))
-    about = star.where("rest IS NOT NULL").select("a", "b").join(own, ["a", "b"], "left").select(F.col("b").alias("rep"), F.col("a").alias("ref"), F.coalesce("own", F.lit(0)).alias("own"))
-    about = stash.keep(about, "own")
+    # The reference of a leader's classes is what it holds and what most of them hold besides.  Two classes share at most
+    # what both have of the reference and what both have beside it.  That is short, so pairs that need a share of it to
+    # be links are found through it, and by their count of shared items.
+    about = star.where("rest IS NOT NULL").select(F.col("b").alias("rep"), F.col("a").alias("ref"), "linked", "rest")
+    spare = stash.keep(about.join(classes.select("rep", "size"), "rep").select("ref", "rep", "size", "linked", F.explode("rest").alias("x")), "spare")
+    tally = spare.groupBy("ref", "x").agg(F.count(F.lit(1)).alias("c")).join(about.groupBy("ref").agg(F.count(F.lit(1)).alias("k")), "ref")
+    spare = spare.join(tally.where("2 * c <= k").select("ref", "x", "c"), ["ref", "x"])
+    own = stash.keep(spare.groupBy("rep").agg(F.count(F.lit(1)).alias("own")), "own")
+    about = stash.keep(about.join(own, "rep", "left").select("rep", "ref", F.coalesce("own", F.lit(0)).alias("own")), "about")
+    beside = spare.where("c > 1").join(own, "rep")
+    left = beside.where("NOT linked").select("ref", "x", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "own")])
+    met = left.join(beside, ["ref", "x"]).where((F.col("rep") != F.col("l_rep")) & alike("size", "l_size"))
+    met = met.groupBy("l_rep", "rep", "l_size", "size", "l_own", "own").agg(F.count(F.lit(1)).alias("c"))
+
+    def within(size: str, own: str, other: str, more=0):
+        """Whether an overlap of all but the own items, and ``more`` of those, would do for a partner of that size."""
+        overlap = F.col(size) - F.col(own) + more
+        return overlap * 100 >= (F.col(other) + F.col(size) - overlap) * percent
+
+    met = met.where(within("size", "own", "l_size", F.col("c")) & within("l_size", "l_own", "size", F.col("c")))
+    met = met.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct()
+    met = stash.keep(met.join(tested, ["a", "b"], "left_anti"), "pairs")
+    tested = stash.keep(tested.union(met), "tested")
+    links = stash.keep(links.union(verified(met)), "links")
     drawn_from, member = member, stash.keep(member.drop("k").join(about, "rep", "left").select("key", "rep", "size", F.coalesce("ref", "rep").alias("ref"), F.coalesce("own", F.lit(0)).alias("own")), "members")
     stash.drop(drawn_from)
 
-    def within(size: str, own: str, other: str):
-        """Whether an overlap of all but the own items would do for a partner of that size."""
-        return (F.col(size) - F.col(own)) * 100 >= (F.col(other) + F.col(own)) * percent
-
-    done, leaders = None, 8
+    done, leaders = None, 32
     while True:
         comp = components(links, "a", "b").select(F.col("v").alias("rep"), "comp")
         now = member.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -226,16 +240,21 @@ def _links(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent: i
         fresh = fresh.join(done, ["key", "rep"], "left_anti") if done is not None else fresh
         count = fresh.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
         main = count.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"))
-        minor = fresh.join(main.select("key", F.col("m.comp").alias("main")), "key").where("comp <> main")
-        order = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
-        minor = minor.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders)
-        lead = minor.select("key", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "comp", "ref", "own")])
+        fresh = fresh.join(main.select("key", F.col("m.comp").alias("main")), "key")
+        few = fresh.where("comp <> main").groupBy("key").agg(F.count(F.lit(1)).alias("minors"))
+        fresh = fresh.join(few, "key")
+        # The members nearest to the reference lead first, as others most likely link to them; members outside the
+        # largest group lead when they have become few.
+        order = Window.partitionBy("key").orderBy("own", F.xxhash64("rep"), "rep")
+        inner = fresh.where("comp = main").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders).drop("turn")
+        lead = inner.union(fresh.where((F.col("comp") != F.col("main")) & (F.col("minors") <= leaders)).select(*inner.columns))
+        lead = lead.select("key", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "comp", "ref", "own")])
         lead = stash.keep(lead, "lead")
         if lead.isEmpty():
             for table in (member, sets, star, tested, about, done, now, lead):
                 if table is not None:
                     stash.drop(table)
-            return links
+            return comp
         apart = (F.col("comp") != F.col("l_comp")) & alike("size", "l_size")
         bound = (F.col("ref") != F.col("l_ref")) | (within("size", "own", "l_size") & within("l_size", "l_own", "size"))
         pairs = lead.join(now, (lead["key"] == now["key"]) & apart & bound)
@@ -249,4 +268,4 @@ def _links(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent: i
         for table in old:
             if table is not None:
                 stash.drop(table)
-        leaders *= 8
+        leaders *= 4
