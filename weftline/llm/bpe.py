@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from weftline.llm.batches import text_chunks
 
-MAX_PIECES = 120_000
-MAX_WORDS = 60_000
-MAX_PAIRS = 300_000
-CHUNK = 6 << 20
+MAX_PIECES = 80_000
+MAX_WORDS = 40_000
+MAX_PAIRS = 150_000
+CHUNK = 4 << 20
 NEVER = 1 << 60
 
 

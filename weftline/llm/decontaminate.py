@@ -25,7 +25,7 @@ EDITS = 0.1  # edit budget as a share of a passage's length
 SHORTEST = 40  # characters below which a passage is no evidence of a leak
 WINDOW = 600  # longer passages are looked for in windows of this length, overlapping by half
 MAX_INDEX_CHARS = 16_000_000  # benchmark characters indexed in one pass
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U = np.uint64
 MIX = 0x9E3779B97F4A7C15
 

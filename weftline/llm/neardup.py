@@ -28,7 +28,7 @@ from weftline.plans.shared import Stash
 
 ROWS, BANDS = 4, 32
 U = np.uint64
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
