@@ -46,6 +46,7 @@ def bfs(directed: DataFrame, start: int, small: bool | None = None) -> DataFrame
 
         return in_one_task(directed.select("src", "dst"), kernel, "v bigint, level bigint")
     spark, stash = directed.sparkSession, Stash(directed.sparkSession)
+    directed = stash.keep(directed.select("src", "dst"), "directed")
     front = spark.range(1).select(F.lit(start).cast("bigint").alias("v"), F.lit(0).cast("bigint").alias("level"))
     seen = front = stash.keep(front, "front")
     while True:
