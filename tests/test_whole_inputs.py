@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 
 from weftline.operators import graph
@@ -108,3 +110,15 @@ def test_graph_queries_on_the_whole_graph(spark, sf, edges, parts):
 def test_bfs_rounds_on_the_whole_graph(spark, edges):
     e = spark.createDataFrame(edges, "id bigint, u bigint, v bigint, w bigint").coalesce(1)
     assert rows(graph.bfs(graph.both_ways(e), min(u for _, u, _, _ in edges), small=False), "v", "level") == sorted(levels(edges).items())
+
+
+def test_knapsack_and_density_of_all_parts(spark, sf):
+    items = [(r.p_partkey, int(r.p_size), math.floor(r.p_retailprice)) for r in table(spark, sf, "part").collect()]
+    best = {0: 0}
+    for _, w, v in items:
+        for c, total in list(best.items()):
+            if c + w <= 120 and total + v > best.get(c + w, 0):
+                best[c + w] = total + v
+    assert QUERIES["q49_knapsack"](spark, sf).first().best == max(best.values())
+    order = sorted(items, key=lambda x: (-x[2] / x[1], x[0]))
+    assert rows(QUERIES["q49b_density_order"](spark, sf), "pos", "id") == [(i, x[0]) for i, x in enumerate(order)]

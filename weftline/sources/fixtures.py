@@ -38,7 +38,7 @@ def points(spark: SparkSession, sf_dir: str, axes: int = 2) -> DataFrame:
 
 
 def knap_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").where("p_partkey < 24")
+    rows = table(spark, sf_dir, "part")
     return rows.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("weight"), F.floor("p_retailprice").cast("bigint").alias("value"))
 
 
