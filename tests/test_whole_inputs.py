@@ -6,7 +6,7 @@ import math
 
 import pytest
 
-from weftline.operators import graph
+from weftline.operators import graph, text
 from weftline.queries import QUERIES
 from weftline.session import table
 from weftline.sources import fixtures as fx
@@ -122,3 +122,12 @@ def test_knapsack_and_density_of_all_parts(spark, sf):
     assert QUERIES["q49_knapsack"](spark, sf).first().best == max(best.values())
     order = sorted(items, key=lambda x: (-x[2] / x[1], x[0]))
     assert rows(QUERIES["q49b_density_order"](spark, sf), "pos", "id") == [(i, x[0]) for i, x in enumerate(order)]
+
+
+def test_suffix_array_of_all_texts(spark, tmp_path):
+    texts = [(3, "naïve Größe"), (1, "banana" * 20), (2, ""), (5, None), (4, "日本 banana"), (0, "x")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    whole = "".join(t for _, t in sorted(texts, key=lambda r: r[0]) if t).encode()
+    want = list(enumerate(sorted(range(len(whole)), key=lambda i: whole[i:])))
+    assert rows(QUERIES["q41_suffix_array"](spark, str(tmp_path)), "pos", "idx") == want
+    assert rows(text.suffix_array(fx.suffix_bytes(spark, str(tmp_path)), small=False), "pos", "idx") == want

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.blocked import scan_blocks, sorted_positions
@@ -11,12 +11,12 @@ from weftline.plans.fixpoint import in_one_task, is_small
 from weftline.plans.shared import Stash
 
 
-def byte_sequence(texts: DataFrame, text: str) -> DataFrame:
-    """``(idx, b)`` of the bytes of one text, read through its hexadecimal form."""
-    hexed = F.hex(F.col(text).cast("binary"))
-    every = F.transform(F.sequence(F.lit(0), F.octet_length(F.col(text)) - 1), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+def byte_sequence(texts: DataFrame, text: str, start: Column | None = None) -> DataFrame:
+    """``(idx, b)`` of the bytes of the texts; ``idx`` counts from ``start`` (0 for a single text)."""
+    data, first = F.col(text).cast("binary"), F.lit(0) if start is None else start
+    every = F.transform(F.sequence(F.lit(0), F.octet_length(F.col(text)) - 1), lambda i: F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("int"))
     some = F.when(F.octet_length(F.col(text)) > 0, every).otherwise(F.array().cast("array<int>"))
-    return texts.select(F.posexplode(some).alias("idx", "b")).select(F.col("idx").cast("bigint").alias("idx"), "b")
+    return texts.select(first.cast("bigint").alias("first"), F.posexplode(some).alias("i", "b")).select((F.col("first") + F.col("i")).alias("idx"), "b")
 
 
 def suffix_array(seq: DataFrame, small: bool | None = None) -> DataFrame:
@@ -49,9 +49,11 @@ def suffix_array(seq: DataFrame, small: bool | None = None) -> DataFrame:
         ahead = now.select((F.col("idx") - k).alias("idx"), F.col("r").alias("s")).where("idx >= 0")
         pairs = now.join(ahead, "idx", "left").select("idx", "r", F.coalesce("s", F.lit(0).cast("bigint")).alias("s"))
         pairs = stash.keep(pairs, "pairs")
+        stash.drop(now)
         groups = sorted_positions(pairs.groupBy("r", "s").agg(F.count(F.lit(1)).alias("n")), [F.col("r"), F.col("s")], "g")
         below = scan_blocks(groups, F.col("n"), idx="g", out="below").select("r", "s", "below")
         now = stash.keep(pairs.join(below, ["r", "s"]).select("idx", (F.col("below") + 1).alias("r")), "ranks")
+        stash.drop(pairs)
         k *= 2
         if k > n or now.select("r").distinct().count() == n:
             return now.select((F.col("r") - 1).alias("pos"), "idx")

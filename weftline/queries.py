@@ -411,7 +411,7 @@ def q40b_edge_list(spark, d):
     " x AS (SELECT i AS idx, encode(substr(s, CAST(i + 1 AS BIGINT))) AS b FROM t, range(2000) r(i)) SELECT row_number() OVER (ORDER BY b) - 1 AS pos, idx FROM x"
 )
 def q41_suffix_array(spark, d):
-    return text.suffix_array(text.byte_sequence(fx.suffix_text(spark, d), "s"))
+    return text.suffix_array(fx.suffix_bytes(spark, d))
 
 
 _AXIS = "greatest(0, least(31, CAST(floor(({0} + 2) / 0.125) AS BIGINT)))"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.plans.blocked import sorted_positions
+from weftline.operators.text import byte_sequence
+from weftline.plans.blocked import scan_blocks, sorted_positions
 from weftline.session import table
 
 
@@ -62,7 +63,8 @@ def grid_rays(spark: SparkSession) -> DataFrame:
     return spark.range(64).select("id", (i + 0.3).alias("ox"), (j + 0.6).alias("oy"), F.lit(10.0).alias("oz"), F.lit(0.01).alias("dx"), F.lit(0.02).alias("dy"), F.lit(-1.0).alias("dz"))
 
 
-def suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 2,000 bytes of the first all-ASCII document that has as many."""
-    rows = table(spark, sf_dir, "documents").where("octet_length(text) = length(text) AND length(text) >= 2000")
-    return rows.orderBy("doc_id").limit(1).select(F.substring("text", 1, 2000).alias("s"))
+def suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(idx, b)`` of the bytes of all texts, joined in doc_id order."""
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", F.octet_length("text").cast("bigint").alias("n"))
+    placed = sorted_positions(rows, [F.col("doc_id"), F.col("text")])
+    return byte_sequence(scan_blocks(placed, F.col("n"), idx="pos", out="start"), "text", F.col("start"))
