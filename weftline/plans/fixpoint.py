@@ -13,17 +13,15 @@ from weftline.plans.shared import Stash
 SMALL_ROWS = 500_000
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], going: Callable[[DataFrame, int], bool], label: str = "state", max_rounds: int = 10_000) -> DataFrame:
+def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], going: Callable[[DataFrame, int], bool], label: str = "state") -> DataFrame:
     """Apply ``step(state, round)`` while ``going(state, round)``; each state is a table in the shared folder."""
     stash = Stash(state.sparkSession)
-    now = stash.keep(state, label)
-    for k in range(max_rounds):
-        if not going(now, k):
-            return now
+    now, k = stash.keep(state, label), 0
+    while going(now, k):
         after = stash.keep(step(now, k), label)
         stash.drop(now)
-        now = after
-    raise RuntimeError(f"{label} did not settle in {max_rounds} rounds")
+        now, k = after, k + 1
+    return now
 
 
 def is_small(df: DataFrame, most: int = SMALL_ROWS) -> bool:
@@ -31,27 +29,34 @@ def is_small(df: DataFrame, most: int = SMALL_ROWS) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def in_one_task(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """Run ``kernel`` on all rows of an input that ``is_small``, as lists by column; an empty input runs it too."""
-    names = df.columns
-
-    def run(batches):
-        whole: dict[str, list] = {c: [] for c in names}
-        for batch in batches:
-            for c, v in zip(names, batch.columns, strict=True):
-                whole[c] += v.to_pylist()
-        out = kernel(whole)
-        yield pa.RecordBatch.from_pydict(out, schema=kind)
-
+def one_table(df: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Run ``kernel`` in one task on all rows of an input that ``is_small``, as an Arrow table; an empty input runs it too."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    struct = StructType.fromDDL(schema)
+    struct, given = StructType.fromDDL(schema), to_arrow_schema(df.schema)
     kind = to_arrow_schema(struct)
+
+    def run(batches):
+        whole = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=given) for b in batches], given)
+        yield from kernel(whole).cast(kind).combine_chunks().to_batches()
+
     return df.coalesce(1).mapInArrow(run, struct)
 
 
-def reserve_and_commit(items: DataFrame, keys: str = "keys", max_rounds: int = 10_000) -> DataFrame:
+def in_one_task(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+    """Like ``one_table`` with the rows as lists by column."""
+
+    def run(whole: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        return pa.Table.from_pydict(kernel(whole.to_pydict()), schema=to_arrow_schema(StructType.fromDDL(schema)))
+
+    return one_table(df, run, schema)
+
+
+def reserve_and_commit(items: DataFrame, keys: str = "keys") -> DataFrame:
     """``id`` of the items that a sequential pass in id order would commit, when an item needs all its ``keys`` unused.
 
     Every round all remaining items reserve their keys, the smallest id wins each key, and an item that wins all of its
@@ -61,15 +66,13 @@ def reserve_and_commit(items: DataFrame, keys: str = "keys", max_rounds: int = 1
     rows = items.select("id", F.array_distinct(keys).alias("keys"))
     free = rows.where("coalesce(size(keys), 0) <= 0").select("id")
     left, chosen = stash.keep(rows.where("size(keys) > 0"), "left"), free
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            return chosen
+    while not left.isEmpty():
         each = left.select("id", F.size("keys").alias("need"), F.explode("keys").alias("key"))
         held = each.groupBy("key").agg(F.min("id").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("won"))
         won = stash.keep(left.join(held, "id").where("won = size(keys)").select("id", "keys"), "won")
         chosen = stash.keep(chosen.union(won.select("id")), "chosen")
         out = each.join(won.select(F.explode("keys").alias("key")), "key", "left_semi").select("id").distinct()
         after = stash.keep(left.join(out, "id", "left_anti"), "left")
-        stash.drop(left)
+        stash.drop(left, won)
         left = after
-    raise RuntimeError(f"items did not settle in {max_rounds} rounds")
+    return chosen
