@@ -1,8 +1,10 @@
-"""Arrow batches cut by text volume, so that a worker's memory follows a constant and not the batch size or row count."""
+"""Arrow batches cut by text volume, and Python workers that hold no more than the kernel they run needs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,56 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20
 
+#: What kernels keep in a worker between tasks: name of the kernel -> what empties it.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def held_by(owner: str, clear: Callable[[], None]) -> None:
+    """Say how to empty what the kernels of ``owner`` keep in a worker; another owner's task does so."""
+    _held[owner] = clear
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return memory that nothing uses to the system; Arrow and the C library would hold it for this worker."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def take_over(owner: str) -> None:
+    """Drop what the kernels of others left in this worker."""
+    for name, clear in _held.items():
+        if name != owner:
+            clear()
+    give_back()
+
+
+def settled(owner: str) -> Callable:
+    """For kernels over batches: empty what other kernels keep in this worker before, and give memory back after.
+
+    Spark reuses workers for tasks of all kinds, so else the tables of every kernel that ever ran would add up.
+    """
+
+    def wrap(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        @wraps(kernel)
+        def run(batches):
+            take_over(owner)
+            try:
+                yield from kernel(batches)
+            finally:
+                give_back()
+
+        return run
+
+    return wrap
+
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` with about ``most`` bytes of ``column`` each; a longer text is a slice alone."""

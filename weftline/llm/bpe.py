@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import text_chunks
+from weftline.llm.batches import held_by, settled, text_chunks
 
 MAX_PIECES = 80_000
 MAX_WORDS = 40_000
@@ -288,7 +288,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+held_by("bpe", codec.cache_clear)
+
+
 def _kernel(path: str, want: tuple[str, ...], kept: tuple[str, ...], text: str):
+    @settled("bpe")
     def run(batches):
         c = codec(path)
         for batch in batches:
@@ -334,6 +338,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...]
     kinds = dict(df.select(*keep).dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["text string"])
 
+    @settled("bpe")
     def run(batches):
         c = codec(path)
         for batch in batches:

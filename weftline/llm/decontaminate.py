@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import text_chunks
+from weftline.llm.batches import settled, text_chunks
 
 Q = 8
 EDITS = 0.1  # edit budget as a share of a passage's length
@@ -190,6 +190,7 @@ def find_leaks(
     for index in _indexes(benchmark, item_id, item_text, **options):
         held = spark.sparkContext.broadcast(index)
 
+        @settled("decontaminate")
         def run(batches, held=held):
             ix = held.value
             for batch in batches:
@@ -219,6 +220,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     for index in _indexes(benchmark, item_id, item_text, **options):
         held = spark.sparkContext.broadcast(index)
 
+        @settled("decontaminate")
         def run(batches, held=held):
             for batch in batches:
                 if not batch.num_rows:

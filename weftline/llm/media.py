@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import text_chunks
+from weftline.llm.batches import settled, text_chunks
 from weftline.llm.files import RangeReader, ShardWriter
 from weftline.plans.shared import Stash, fresh_path
 
@@ -99,6 +99,7 @@ def store(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", te
     kind = dict(base.dtypes)["doc_id"]
     names = ["doc_id", "n_bytes", "digest", "shard", "offset", "length"]
 
+    @settled("media")
     def run(batches):
         out, held = ShardWriter(place, ".tar", shard_bytes), {}
         try:
@@ -135,6 +136,7 @@ def _read(refs: DataFrame, added: str, types: list, work):
     """Append columns that ``work(reader, shard, offset, length)`` gives; equal places are worked out once in a while."""
     at = [refs.columns.index(c) for c in ("shard", "offset", "length")]
 
+    @settled("media")
     def run(batches):
         reader, seen = RangeReader(), OrderedDict()
         try:

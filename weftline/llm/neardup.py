@@ -16,19 +16,24 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import text_chunks
+from weftline.llm.batches import settled, text_chunks
 from weftline.operators.components import components
 from weftline.plans.shared import Stash
 
 ROWS, BANDS = 4, 32
 U = np.uint64
 CHUNK = 1 << 20
+BLOCK = 1 << 18
+FIRST_LEADERS = 32
+SPACE = re.compile(rb"[\x20\x09-\x0D]").search
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,12 +46,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the word ``n``-grams of a text: A-Z lower-cased, cut at ASCII white space.
 
-    Fewer than ``n`` words give one shingle of them all; no words or a null text give none.
+    Fewer than ``n`` words give one shingle of them all; no words or a null text give none.  A text is cut into words by
+    stretches, so beside it only eight bytes a word are held.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, U)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
+    raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+    found, at = [], 0
+    while at < len(raw):
+        cut = SPACE(raw, at + CHUNK)
+        to = cut.start() if cut else len(raw)
+        words = raw[at:to].split()
+        found.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words)))
+        at = to
+    h = np.concatenate(found) if found else np.empty(0, U)
+    if not len(h):
+        return h
     k = min(n, len(h))
     out = np.full(len(h) - k + 1, U(k))
     for i in range(k):
@@ -57,15 +70,23 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
     """SuperMinHash signatures of many sets at once, one row each; empty sets have a row of the largest value.
 
-    Round j handles the j-th rank of all elements together; sets whose registers are all filled drop out, as later
-    ranks can only offer larger values.
+    Elements are taken by blocks, which bounds memory whatever the length of a text.  Round j handles the j-th rank of a
+    block's elements together; sets whose registers all hold values of that rank or less drop out, as later ranks can
+    only offer larger ones.
     """
-    full = U(0xFFFFFFFFFFFFFFFF)
-    out = np.full((len(sets), m), full, U)
+    out = np.full((len(sets), m), U(0xFFFFFFFFFFFFFFFF), U)
     sizes = np.array([len(s) for s in sets])
     if not sizes.sum():
         return out
-    flat, owner, x = out.reshape(-1), np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    all_x, all_owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    for at in range(0, len(all_x), BLOCK):
+        _offer(out, all_x[at : at + BLOCK], all_owner[at : at + BLOCK], m)
+    return out
+
+
+def _offer(out: np.ndarray, x: np.ndarray, owner: np.ndarray, m: int) -> None:
+    """Let a block of elements offer their values to the registers of their sets."""
+    flat = out.reshape(-1)
     perm = np.tile(np.arange(m, dtype=np.uint8), (len(x), 1))
     for j in range(m):
         z = mix(x + U((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
@@ -75,15 +96,16 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
         perm[rows, k] = perm[:, j]
         perm[:, j] = slot
         np.minimum.at(flat, owner * m + slot, (U(j) << U(56)) | (mix(z) >> U(8)))
-        unfilled = (out == full).any(axis=1)[owner]
-        if not unfilled.any():
+        low = owner[0]
+        open_ = ((out[low : owner[-1] + 1].max(axis=1) >> U(56)) > U(j))[owner - low]
+        if not open_.any():
             break
-        if not unfilled.all():
-            owner, x, perm = owner[unfilled], x[unfilled], perm[unfilled]
-    return out
+        if not open_.all():
+            owner, x, perm = owner[open_], x[open_], perm[open_]
 
 
 def _sign(n: int, rows: int, bands: int):
+    @settled("neardup")
     def run(batches):
         for batch in batches:
             for part in text_chunks(batch, "text", CHUNK):
@@ -103,6 +125,7 @@ def _sign(n: int, rows: int, bands: int):
 
 
 def _sets(n: int):
+    @settled("neardup")
     def run(batches):
         for batch in batches:
             for part in text_chunks(batch, "text", CHUNK):
@@ -117,9 +140,10 @@ def _verify(percent: int, rest: bool):
     """Pairs whose full sets are similar enough; with ``rest`` all pairs, a flag, and the items of b that a lacks
     (null where those are most of them)."""
 
+    @settled("neardup")
     def run(batches):
         for batch in batches:
-            left, right = (batch.column(i) for i in (2, 3))
+            left, right = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             good, lacking = np.zeros(batch.num_rows, bool), []
             for i in range(batch.num_rows):
                 a, b = np.frombuffer(left[i].as_buffer(), U), np.frombuffer(right[i].as_buffer(), U)
@@ -130,8 +154,8 @@ def _verify(percent: int, rest: bool):
                     lacking.append(b[~shared].view(np.int64) if 2 * same >= len(b) else None)
             mask = pa.array(good)
             if rest:
-                cols = [batch.column(0), batch.column(1), mask, pa.array(lacking, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "linked", "rest"])
+                cols = [*batch.columns[:-2], mask, pa.array(lacking, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "size", "pull", "linked", "rest"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -167,14 +191,18 @@ def near_duplicates(
     named = group.join(least, "comp").select(F.col("rep").alias("digest"), "component_id")
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return stash.only(stash.keep(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-duplicates"))
 
 
 def _groups(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """``(rep, comp)`` of the classes with a verified link, over links that connect all that the buckets can connect."""
     spread = classes.select("rep", "size", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    member = stash.keep(spread.join(shared, "key"), "buckets")
+    drawn = stash.keep(spread.join(shared, "key"), "drawn")
+    # The class whose buckets hold most others is the centre of a group of copies and leads its buckets.
+    pull = drawn.groupBy("rep").agg(F.sum("k").alias("pull"))
+    member = stash.keep(drawn.select("key", "rep", "size").join(pull, "rep"), "buckets")
+    stash.drop(drawn)
     wanted = classes.join(member.select("rep").distinct(), "rep", "left_semi").select(F.col("id").alias("doc_id")).distinct()
     # Candidates grow with the input: both sides are shuffled at every size, never broadcast.
     texts = base.join(wanted.hint("merge"), base["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
@@ -186,86 +214,94 @@ def _groups(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent:
     def verified(pairs: DataFrame, rest: bool = False) -> DataFrame:
         left = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_verify(percent, rest), "a binary, b binary" + ", linked boolean, rest array<bigint>" * rest)
-
-    # First each class against one leader.  The class whose buckets hold most others is the centre of a group of copies:
-    # it leads its buckets, and a class takes the greatest leader that its buckets offer and its size allows.
-    drawn = member.groupBy("rep", "size").agg(F.sum("k").alias("pull"))
-    crowd = member.select("key", "rep").join(drawn, "rep")
-    lead = crowd.groupBy("key").agg(F.max(F.struct("pull", "rep", "size")).alias("lead"))
-    first = member.select("key", "rep", "size").join(lead, "key").where((F.col("rep") != F.col("lead.rep")) & alike("size", "lead.size"))
-    first = first.groupBy("rep").agg(F.max("lead").alias("lead")).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
+        both = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "x", "y")
+        return both.mapInArrow(_verify(percent, rest), "a binary, b binary" + ", size bigint, pull bigint, linked boolean, rest array<bigint>" * rest)
+
+    def within(size: str, own: str, other: str, more=0):
+        """Whether an overlap of all but the own items, and ``more`` of those, would do for a partner of that size."""
+        overlap = F.col(size) - F.col(own) + more
+        return overlap * 100 >= (F.col(other) + F.col(size) - overlap) * percent
+
+    def grouped(links: DataFrame) -> DataFrame:
+        comp = components(links, "a", "b")
+        return stash.keep(comp.select(F.col("v").alias("rep"), "comp"), "components")
+
+    def unsettled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        """Members of the buckets that hold more than one component, with what is said of their bucket."""
+        named = rows.drop("comp", "low", "closed", "main").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        named = stash.keep(named, "named")
+        keys = named.groupBy("key").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("low"),
+            (F.min("ref") == F.max("ref")).alias("closed"), F.max(F.struct("pull", "ref", "linked", "comp"))["comp"].alias("main"),
+        )
+        open_ = stash.keep(named.join(keys.where("lo <> hi").drop("lo", "hi"), "key"), "open")
+        stash.drop(named)
+        return open_
+
+    # First each class against one leader, the greatest that its buckets offer and its size allows.
+    lead = member.groupBy("key").agg(F.max(F.struct("pull", "rep", "size")).alias("lead"))
+    first = member.join(lead, "key").where((F.col("rep") != F.col("lead.rep")) & alike("size", "lead.size"))
+    first = first.groupBy("rep").agg(F.max("lead").alias("lead"), F.first("size").alias("size"))
+    first = first.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), "size", F.col("lead.pull").alias("pull"))
     star = stash.keep(verified(first, rest=True), "star")
-    links = stash.keep(star.where("linked").select("a", "b"), "links")
-    tested = stash.keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tested")
+    comp = grouped(star.where("linked"))
+    # A class goes with its leader where it shares most of it, else with itself.
+    ref = star.where("rest IS NOT NULL").select(F.col("b").alias("rep"), F.col("a").alias("ref"), F.col("pull").alias("above"), "linked")
+    placed = member.join(ref, "rep", "left").select(
+        "key", "rep", "size", F.coalesce("above", "pull").alias("pull"), F.coalesce("ref", "rep").alias("ref"), F.coalesce("linked", F.lit(True)).alias("linked")
+    )
+    open_ = unsettled(placed, comp)
+    stash.drop(member)
     # The reference of a leader's classes is what it holds and what most of them hold besides.  Two classes share at most
     # what both have of the reference and what both have beside it.  That is short, so pairs that need a share of it to
-    # be links are found through it, and by their count of shared items.
-    about = star.where("rest IS NOT NULL").select(F.col("b").alias("rep"), F.col("a").alias("ref"), "linked", "rest")
-    spare = stash.keep(about.join(classes.select("rep", "size"), "rep").select("ref", "rep", "size", "linked", F.explode("rest").alias("x")), "spare")
+    # be links are found through it, and by their count of shared items.  Only leaders met in open buckets matter.
+    about = star.where("rest IS NOT NULL").select(F.col("b").alias("rep"), F.col("a").alias("ref"), "size", "linked", "rest")
+    about = stash.keep(about.join(open_.select("ref").distinct(), "ref", "left_semi"), "about")
+    spare = about.select("ref", "rep", "size", "linked", F.explode("rest").alias("x"))
     tally = spare.groupBy("ref", "x").agg(F.count(F.lit(1)).alias("c")).join(about.groupBy("ref").agg(F.count(F.lit(1)).alias("k")), "ref")
-    spare = spare.join(tally.where("2 * c <= k").select("ref", "x", "c"), ["ref", "x"])
+    spare = stash.keep(spare.join(tally.where("2 * c <= k").select("ref", "x", "c"), ["ref", "x"]), "spare")
     own = stash.keep(spare.groupBy("rep").agg(F.count(F.lit(1)).alias("own")), "own")
-    about = stash.keep(about.join(own, "rep", "left").select("rep", "ref", F.coalesce("own", F.lit(0)).alias("own")), "about")
-    beside = spare.where("c > 1").join(own, "rep")
+    beside = stash.keep(spare.where("c > 1").join(own, "rep"), "beside")
     left = beside.where("NOT linked").select("ref", "x", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "own")])
     met = left.join(beside, ["ref", "x"]).where((F.col("rep") != F.col("l_rep")) & alike("size", "l_size"))
     met = met.groupBy("l_rep", "rep", "l_size", "size", "l_own", "own").agg(F.count(F.lit(1)).alias("c"))
+    met = met.where(within("size", "own", "l_size", F.col("c")) & within("l_size", "l_own", "size", F.col("c")))
+    met = stash.keep(met.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct(), "pairs")
 
-    def within(size: str, own: str, other: str, more=0):
-        """Whether an overlap of all but the own items, and ``more`` of those, would do for a partner of that size."""
-        overlap = F.col(size) - F.col(own) + more
-        return overlap * 100 >= (F.col(other) + F.col(size) - overlap) * percent
+    def joined(comp: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Components after the links among ``pairs``; those known so far count as links themselves."""
+        after = grouped(verified(pairs).union(comp.select(F.col("rep").alias("a"), F.col("comp").alias("b"))))
+        stash.drop(comp, pairs)
+        return after
 
-    met = met.where(within("size", "own", "l_size", F.col("c")) & within("l_size", "l_own", "size", F.col("c")))
-    met = met.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct()
-    met = stash.keep(met.join(tested, ["a", "b"], "left_anti"), "pairs")
-    tested = stash.keep(tested.union(met), "tested")
-    links = stash.keep(links.union(verified(met)), "links")
-    drawn_from, member = member, stash.keep(member.drop("k").join(about, "rep", "left").select("key", "rep", "size", F.coalesce("ref", "rep").alias("ref"), F.coalesce("own", F.lit(0)).alias("own")), "members")
-    stash.drop(drawn_from)
-
-    done, leaders = None, 32
+    comp = joined(comp, met)
+    member = open_.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    member, before = unsettled(member, comp), open_
+    stash.drop(before, star, about, spare, own, beside)
+
+    leaders = FIRST_LEADERS
     while True:
-        comp = components(links, "a", "b").select(F.col("v").alias("rep"), "comp")
-        now = member.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        now = stash.keep(now.join(split, "key"), "open")
-        usual = now.groupBy("key", "ref").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "ref")).alias("r"))
-        usual = usual.select("key", F.col("r.ref").alias("usual"))
-        seen = now.join(usual, "key").withColumn("inner", (F.col("ref") == F.col("usual")) | (F.col("rep") == F.col("usual")))
-        low = seen.groupBy("key").agg(F.min("size").alias("low"), F.bool_and("inner").alias("closed"))
-        fresh = seen.join(low, "key").where(~(F.col("closed") & ~within("size", "own", "low")))
-        fresh = fresh.join(done, ["key", "rep"], "left_anti") if done is not None else fresh
-        count = fresh.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        main = count.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"))
-        fresh = fresh.join(main.select("key", F.col("m.comp").alias("main")), "key")
-        few = fresh.where("comp <> main").groupBy("key").agg(F.count(F.lit(1)).alias("minors"))
-        fresh = fresh.join(few, "key")
+        # In a bucket whose members have one leader, members can do without leading if their own items rule out even the
+        # smallest partner: what they share of those has been counted above.
+        fresh = member.where(~(F.col("closed") & ~within("size", "own", "low")))
+        minors = fresh.where("comp <> main").groupBy("key").agg(F.count(F.lit(1)).alias("minors"))
+        fresh = stash.keep(fresh.join(minors, "key").select("key", "rep", "size", "comp", "main", "ref", "own", "minors"), "fresh")
+        if fresh.isEmpty():
+            stash.drop(member, sets, fresh)
+            return comp
         # The members nearest to the reference lead first, as others most likely link to them; members outside the
-        # largest group lead when they have become few.
+        # main component lead when they have become few.  Who has led meets nobody again.
         order = Window.partitionBy("key").orderBy("own", F.xxhash64("rep"), "rep")
         inner = fresh.where("comp = main").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders).drop("turn")
-        lead = inner.union(fresh.where((F.col("comp") != F.col("main")) & (F.col("minors") <= leaders)).select(*inner.columns))
-        lead = lead.select("key", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "comp", "ref", "own")])
-        lead = stash.keep(lead, "lead")
-        if lead.isEmpty():
-            for table in (member, sets, star, tested, about, done, now, lead):
-                if table is not None:
-                    stash.drop(table)
-            return comp
-        apart = (F.col("comp") != F.col("l_comp")) & alike("size", "l_size")
+        lead = inner.union(fresh.where((F.col("comp") != F.col("main")) & (F.col("minors") <= leaders)))
+        lead = stash.keep(lead.select("key", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "comp", "ref", "own")]), "lead")
+        apart = (F.col("comp") != F.col("l_comp")) & alike("size", "l_size") & (F.col("ref") != F.col("l_rep")) & (F.col("rep") != F.col("l_ref"))
         bound = (F.col("ref") != F.col("l_ref")) | (within("size", "own", "l_size") & within("l_size", "l_own", "size"))
-        pairs = lead.join(now, (lead["key"] == now["key"]) & apart & bound)
-        pairs = pairs.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct()
-        pairs = stash.keep(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        turn = lead.select("key", F.col("l_rep").alias("rep"))
-        old = [links, tested, done, now, lead, pairs]
-        links = stash.keep(links.union(verified(pairs)), "links")
-        tested = stash.keep(tested.union(pairs), "tested")
-        done = stash.keep(turn if done is None else done.union(turn), "done")
-        for table in old:
-            if table is not None:
-                stash.drop(table)
+        pairs = lead.join(member, "key").where(apart & bound)
+        pairs = stash.keep(pairs.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct(), "pairs")
+        comp = joined(comp, pairs)
+        rest = member.join(lead.select("key", F.col("l_rep").alias("rep")), ["key", "rep"], "left_anti")
+        rest, before = unsettled(rest, comp), member
+        stash.drop(before, fresh, lead)
+        member = rest
         leaders *= 4

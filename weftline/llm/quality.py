@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import text_chunks
+from weftline.llm.batches import settled, text_chunks
 
 MAX_LABELLED = 6000
 MAX_POOL = 3000
@@ -216,6 +216,7 @@ def train(
     chosen = {r.doc_id: r.label for r in known.union(pool).collect()}  # at most max_labelled + max_pool rows
     n = len(categories)
 
+    @settled("quality")
     def run(batches):
         for part, a, b in _features(batches, n):
             yield pa.RecordBatch.from_arrays(
@@ -240,6 +241,7 @@ def score(
     """
     held, n = docs.sparkSession.sparkContext.broadcast(model), len(categories)
 
+    @settled("quality")
     def run(batches):
         for part, a, b in _features(batches, n):
             found = [pa.array(x.astype(np.float64)) for x in held.value.score(a, b)]
@@ -253,6 +255,7 @@ def keep_good(docs: DataFrame, model: CoTrained, threshold: float = 0.5, text: s
     held, names, n = docs.sparkSession.sparkContext.broadcast(model), docs.columns, len(categories)
     at = [names.index(c) for c in (text, size, *categories)]
 
+    @settled("quality")
     def run(batches):
         for batch in batches:
             plain = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import text_chunks
+from weftline.llm.batches import held_by, settled, text_chunks
 from weftline.llm.bpe import byte_alphabet
 from weftline.llm.files import RangeReader, ShardWriter
 from weftline.plans.shared import Stash, fresh_path
@@ -202,6 +202,9 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+held_by("repair", word_encoder.cache_clear)
+
+
 def write_ids(
     docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", segment_ids: int = SEGMENT_IDS
 ) -> DataFrame:
@@ -221,6 +224,7 @@ def write_ids(
     names = ["doc_id", "part", "at", "shard", "offset", "length", "start", "n_tokens"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
+    @settled("repair")
     def run(batches):
         encoder, out = word_encoder(path), ShardWriter(place, ".wrp", SHARD_BYTES)
         waiting: list[tuple] = []
@@ -270,6 +274,7 @@ def read_ids(refs: DataFrame, columns: str, types: list, work) -> DataFrame:
     new = [c.split()[0] for c in columns.split(", ")]
     at = [refs.columns.index(c) for c in ("shard", "offset", "length", "start", "n_tokens")]
 
+    @settled("repair")
     def run(batches):
         reader, held = RangeReader(), (None, None)
         try:
