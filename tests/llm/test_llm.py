@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 import struct
 import tarfile
@@ -168,7 +169,10 @@ def distance_in(passage, text):
     return min(row)
 
 
-def test_leaks_are_those_of_full_alignment():
+@pytest.mark.parametrize("bounds", [{}, {"TOGETHER": 1}, {"MAX_HITS": 60}, {"MAX_HITS": 4, "TOGETHER": 2, "MAX_CHARS": 50}])
+def test_leaks_are_those_of_full_alignment(bounds, monkeypatch):
+    for k, v in bounds.items():
+        monkeypatch.setattr(decontaminate, k, v)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("etaoins") for _ in range(rng.randint(1, 7)))
     items = [(i, " ".join(word() for _ in range(rng.randint(12, 30)))) for i in range(8)]
@@ -193,6 +197,25 @@ def test_leaks_are_those_of_full_alignment():
     assert hits > 20
 
 
+def test_passages_that_share_a_repeated_sentence():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    shared = "choose the one best answer to the question that follows below "
+    items = [(i, shared + " ".join(word() for _ in range(9))) for i in range(2000)]
+    index = decontaminate.Index(items)
+    began = time.time()
+    found = decontaminate.leaks(index, [shared * 120, shared * 40 + items[77][1] + " " + shared * 40])
+    assert time.time() - began < 60
+    assert found[0] == [] and [(index.units[x[0]][0], x[1]) for x in found[1]] == [(77, 0)]
+
+
+def test_short_passages_are_found_without_edits():
+    items = [(1, "Yes"), (2, "so it goes"), (3, "a quick brown fox ran"), (4, "q")]
+    index = decontaminate.Index(items)
+    got = decontaminate.leaks(index, ["oh  YES and so it\ngoes on", "yesterday so it went", "see a quick brown fox ran off", "a quick brown fix ran q"])
+    assert [sorted((index.units[x[0]][0], *x[1:]) for x in xs) for xs in got] == [[(1, 0, 3, 6), (2, 0, 11, 21)], [], [(3, 0, 4, 25)], [(4, 0, 22, 23)]]
+
+
 def test_decontamination_edges(spark):
     passage = "the quick brown fox jumps over the lazy dog and runs far away from the noisy crowd"
     bench = spark.createDataFrame([(1, passage), (2, None), (3, "too short"), (4, passage), (None, passage)], "item_id bigint, text string")

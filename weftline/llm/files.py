@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def open_place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -11,6 +15,22 @@ def open_place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
+READ_BYTES = 64 << 20
+
+
+def split_by_volume(refs: DataFrame, place: list[str], stored: tuple[str, ...], length: str = "length") -> DataFrame:
+    """``refs`` dealt into ranges of ``place``, as many as their stored bytes and the session ask for.
+
+    References are far smaller than what they refer to, so left alone a few tasks would read everything.  ``stored`` are
+    the columns that name a stored piece, which counts once.
+    """
+    spark = refs.sparkSession
+    pieces = refs.groupBy(*stored).agg(F.max(length).alias("n"))
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / READ_BYTES))
+    return refs.repartitionByRange(n, *place).sortWithinPartitions(*place)
+
+
 class ShardWriter:
     """Numbered files of one task attempt.
 

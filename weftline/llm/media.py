@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.batches import settled, text_chunks
-from weftline.llm.files import RangeReader, ShardWriter
+from weftline.llm.files import RangeReader, ShardWriter, split_by_volume
 from weftline.plans.shared import Stash, fresh_path
 
 WIDTH = 192
@@ -161,7 +161,7 @@ def _read(refs: DataFrame, added: str, types: list, work):
 def with_metadata(refs: DataFrame) -> DataFrame:
     """Rows of ``store`` with width, height and bits, from range reads of the images' headers only."""
     return _read(
-        refs, "width bigint, height bigint, bits bigint", [pa.int64()] * 3,
+        split_by_volume(refs, ["shard", "offset", "doc_id"], ("shard", "offset")), "width bigint, height bigint, bits bigint", [pa.int64()] * 3,
         lambda reader, shard, offset, length: image_header(reader.read(shard, offset, min(length, HEADER))),
     )
 

@@ -21,7 +21,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.batches import settled, text_chunks
@@ -116,10 +116,8 @@ def _sign(n: int, rows: int, bands: int):
                     keys = mix(keys ^ sig[:, :, i])
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 lists = [k.tolist() if d else None for k, d in zip(keys.view(np.int64), digests, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "bands"],
-                )
+                cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*cols, *part.columns[2:]], names=["doc_id", "n_shingles", "digest", "bands", *part.schema.names[2:]])
 
     return run
 
@@ -137,8 +135,7 @@ def _sets(n: int):
 
 
 def _verify(percent: int, rest: bool):
-    """Pairs whose full sets are similar enough; with ``rest`` all pairs, a flag, and the items of b that a lacks
-    (null where those are most of them)."""
+    """Pairs whose full sets are similar enough; with ``rest`` all pairs, a flag, and the items of b that a lacks."""
 
     @settled("neardup")
     def run(batches):
@@ -151,7 +148,7 @@ def _verify(percent: int, rest: bool):
                 same = int(shared.sum())
                 good[i] = 100 * same >= percent * (len(a) + len(b) - same)
                 if rest:
-                    lacking.append(b[~shared].view(np.int64) if 2 * same >= len(b) else None)
+                    lacking.append(b[~shared].view(np.int64))
             mask = pa.array(good)
             if rest:
                 cols = [*batch.columns[:-2], mask, pa.array(lacking, pa.list_(pa.int64()))]
@@ -162,8 +159,13 @@ def _verify(percent: int, rest: bool):
     return run
 
 
+def base_columns(doc_id: str, text: str) -> list[Column]:
+    return [F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")]
+
+
 def near_duplicates(
-    docs: DataFrame, n: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, n: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, doc_id: str = "doc_id", text: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Group documents whose sets of word ``n``-grams have a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -175,12 +177,17 @@ def near_duplicates(
     text, so repeated rows fall into one group and all bear the smallest id (all are kept; they are one document), and
     rows of one id with different texts are grouped by their own texts.  A row without id takes the component of its
     text, which is null where no row of the group has an id, and is kept only there.  An empty table gives no rows.
+    Long texts are read by stretches; a document needs some 40 bytes of memory a word.
+
+    ``carry`` names further columns to return; with them comes ``group``, which is equal for the rows of one component,
+    with or without ids, and null for rows without shingles.
     """
     stash = Stash(docs.sparkSession)
-    base = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    signed = stash.keep(
-        base.mapInArrow(_sign(n, rows, bands), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "signed"
-    )
+    base = docs.select(*base_columns(doc_id, text))
+    carried = docs.select(*base_columns(doc_id, text), *[F.col(f"`{c}`").alias(f"carried_{c}") for c in carry])
+    kinds = "".join(f", `{c}` {t}" for c, t in carried.dtypes[2:])
+    signed = carried.mapInArrow(_sign(n, rows, bands), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>" + kinds)
+    signed = stash.keep(signed, "signed")
     classes = signed.where("digest IS NOT NULL").groupBy(F.col("digest").alias("rep"))
     classes = stash.keep(
         classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes"
@@ -188,10 +195,12 @@ def near_duplicates(
     group = classes.select("rep", "id").join(_groups(stash, base, classes, n, percent), "rep", "left")
     group = stash.keep(group.select("rep", "id", F.coalesce("comp", "rep").alias("comp")), "groups")
     least = group.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = group.join(least, "comp").select(F.col("rep").alias("digest"), "component_id")
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return stash.only(stash.keep(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-duplicates"))
+    named = group.join(least, "comp").select(F.col("rep").alias("digest"), "component_id", F.col("comp").alias("group"))
+    out = signed.drop("bands").join(named, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    extra = [F.col("group")] * bool(carry) + [F.col(f"`carried_{c}`").alias(c) for c in carry]
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *extra)
+    return stash.only(stash.keep(out, "near-duplicates"))
 
 
 def _groups(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -238,46 +247,53 @@ def _groups(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent:
         stash.drop(named)
         return open_
 
-    # First each class against one leader, the greatest that its buckets offer and its size allows.
+    # First each class against one leader, the greatest that its buckets offer, of a size that allows a link if there is one.
     lead = member.groupBy("key").agg(F.max(F.struct("pull", "rep", "size")).alias("lead"))
-    first = member.join(lead, "key").where((F.col("rep") != F.col("lead.rep")) & alike("size", "lead.size"))
-    first = first.groupBy("rep").agg(F.max("lead").alias("lead"), F.first("size").alias("size"))
+    first = member.join(lead, "key").where(F.col("rep") != F.col("lead.rep"))
+    offer = F.struct(alike("size", "lead.size").alias("near"), F.col("lead.pull").alias("pull"), F.col("lead.rep").alias("rep"))
+    first = first.groupBy("rep").agg(F.max(offer).alias("lead"), F.first("size").alias("size"))
     first = first.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), "size", F.col("lead.pull").alias("pull"))
     star = stash.keep(verified(first, rest=True), "star")
     comp = grouped(star.where("linked"))
-    # A class goes with its leader where it shares most of it, else with itself.
-    ref = star.where("rest IS NOT NULL").select(F.col("b").alias("rep"), F.col("a").alias("ref"), F.col("pull").alias("above"), "linked")
+    ref = star.select(F.col("b").alias("rep"), F.col("a").alias("ref"), F.col("pull").alias("above"), "linked")
     placed = member.join(ref, "rep", "left").select(
         "key", "rep", "size", F.coalesce("above", "pull").alias("pull"), F.coalesce("ref", "rep").alias("ref"), F.coalesce("linked", F.lit(True)).alias("linked")
     )
     open_ = unsettled(placed, comp)
     stash.drop(member)
     # The reference of a leader's classes is what it holds and what most of them hold besides.  Two classes share at most
-    # what both have of the reference and what both have beside it.  That is short, so pairs that need a share of it to
-    # be links are found through it, and by their count of shared items.  Only leaders met in open buckets matter.
-    about = star.where("rest IS NOT NULL").select(F.col("b").alias("rep"), F.col("a").alias("ref"), "size", "linked", "rest")
+    # what both have of the reference and what both have beside it.  So a pair that needs a share of the latter to be a
+    # link meets in an index over the rarest of those items (a class of s items, t of them its own, must share all but
+    # (100 - percent) % of s, so one of its first (100 - percent) % of s + 1 own items), and remains if the shared ones
+    # and those outside the index would do.  Only leaders met in open buckets matter.
+    about = star.select(F.col("b").alias("rep"), F.col("a").alias("ref"), "size", "linked", "rest")
     about = stash.keep(about.join(open_.select("ref").distinct(), "ref", "left_semi"), "about")
     spare = about.select("ref", "rep", "size", "linked", F.explode("rest").alias("x"))
     tally = spare.groupBy("ref", "x").agg(F.count(F.lit(1)).alias("c")).join(about.groupBy("ref").agg(F.count(F.lit(1)).alias("k")), "ref")
     spare = stash.keep(spare.join(tally.where("2 * c <= k").select("ref", "x", "c"), ["ref", "x"]), "spare")
     own = stash.keep(spare.groupBy("rep").agg(F.count(F.lit(1)).alias("own")), "own")
-    beside = stash.keep(spare.where("c > 1").join(own, "rep"), "beside")
-    left = beside.where("NOT linked").select("ref", "x", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "own")])
-    met = left.join(beside, ["ref", "x"]).where((F.col("rep") != F.col("l_rep")) & alike("size", "l_size"))
-    met = met.groupBy("l_rep", "rep", "l_size", "size", "l_own", "own").agg(F.count(F.lit(1)).alias("c"))
-    met = met.where(within("size", "own", "l_size", F.col("c")) & within("l_size", "l_own", "size", F.col("c")))
+    rarest = spare.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("c", "x")))
+    room = F.floor(F.col("size") * (100 - percent) / 100) + 1
+    rarest = rarest.where((F.col("c") > 1) & (F.col("place") <= room)).join(own, "rep")
+    rarest = stash.keep(rarest.select("ref", "x", "rep", "size", "linked", "own", F.greatest(F.lit(0), F.col("own") - room).alias("out")), "rarest")
+    left = rarest.where("NOT linked").select("ref", "x", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "own", "out")])
+    met = left.join(rarest, ["ref", "x"]).where((F.col("rep") != F.col("l_rep")) & alike("size", "l_size"))
+    met = met.groupBy("l_rep", "rep", "l_size", "size", "l_own", "own", "l_out", "out").agg(F.count(F.lit(1)).alias("c"))
+    most = F.least(F.col("c") + F.col("l_out") + F.col("out"), F.col("own"), F.col("l_own"))
+    met = met.where(within("size", "own", "l_size", most) & within("l_size", "l_own", "size", most))
     met = stash.keep(met.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct(), "pairs")
 
     def joined(comp: DataFrame, pairs: DataFrame) -> DataFrame:
         """Components after the links among ``pairs``; those known so far count as links themselves."""
-        after = grouped(verified(pairs).union(comp.select(F.col("rep").alias("a"), F.col("comp").alias("b"))))
-        stash.drop(comp, pairs)
+        links = stash.keep(verified(pairs), "links")
+        after = grouped(links.union(comp.select(F.col("rep").alias("a"), F.col("comp").alias("b"))))
+        stash.drop(comp, pairs, links)
         return after
 
     comp = joined(comp, met)
     member = open_.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     member, before = unsettled(member, comp), open_
-    stash.drop(before, star, about, spare, own, beside)
+    stash.drop(before, star, about, spare, own, rarest)
 
     leaders = FIRST_LEADERS
     while True:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.batches import held_by, settled, text_chunks
 from weftline.llm.bpe import byte_alphabet
-from weftline.llm.files import RangeReader, ShardWriter
+from weftline.llm.files import RangeReader, ShardWriter, split_by_volume
 from weftline.plans.shared import Stash, fresh_path
 
 MAGIC = b"WEFTRP01"
@@ -271,6 +271,7 @@ def with_starts(refs: DataFrame) -> DataFrame:
 
 def read_ids(refs: DataFrame, columns: str, types: list, work) -> DataFrame:
     """Append what ``work(ids)`` gives for each document's ids, read back from its file."""
+    refs = split_by_volume(refs, ["part", "at"], ("shard", "offset"))
     new = [c.split()[0] for c in columns.split(", ")]
     at = [refs.columns.index(c) for c in ("shard", "offset", "length", "start", "n_tokens")]
 
