@@ -9,6 +9,7 @@ from functools import lru_cache, wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 4 << 20
 
@@ -63,6 +64,18 @@ def settled(owner: str) -> Callable:
     return wrap
 
 
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", ("64m", "67108864b", "67108864"), "8m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have Spark cut batches for Python at 8 MB, unless the session says otherwise; texts are long, and either side
+    holds a few batches at once."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, None) in BATCH_DEFAULT:
+        conf.set(BATCH_KEY, BATCH_BYTES)
+    return df
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` with about ``most`` bytes of ``column`` each; a longer text is a slice alone."""
     if not batch.num_rows:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import held_by, settled, text_chunks
+from weftline.llm.batches import give_back, held_by, settled, small_batches, text_chunks
 
-MAX_PIECES = 80_000
-MAX_WORDS = 40_000
+MAX_PIECES = 50_000
+MAX_WORDS = 30_000
 MAX_PAIRS = 150_000
-CHUNK = 4 << 20
+MAX_SPINES = 6_000
+CHUNK = 1 << 20
 NEVER = 1 << 60
 
 
@@ -36,6 +38,8 @@ class Merges:
     """Vocabulary and merge ranks of a byte-level BPE file, with the pair test that the trie rests on."""
 
     def __init__(self, path: str):
+        self._grown: dict[int, tuple] = {}
+        self._old_grown: dict[int, tuple] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = dict(spec["model"]["vocab"])
@@ -50,9 +54,11 @@ class Merges:
                 self.opening.setdefault(token[:k], -1)
             self.opening[token] = i
         for token, i in self.vocab.items():
-            if len(token) > 1 and self._spines(i) is None:
+            if len(token) > 1 and self._grow(i) is None:
                 self.opening[token] = -1
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._stable: dict[int, bool] = {}
+        del spec, pairs
+        give_back()
 
     def merged(self, text: str) -> list[str]:
         """The merges applied by definition, lowest rank first and leftmost first; for short strings and tests."""
@@ -65,10 +71,21 @@ class Merges:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    @lru_cache(maxsize=None)  # noqa: B019  one object per worker, one entry per token
     def _spines(self, t: int):
-        """How the first and the last part of token ``t`` grow as it is merged: (part, rank that ends it), in order."""
-        parts = list(self.surface[t])
+        """How the first and the last part of token ``t`` grow as it is merged: (part, rank that ends it), in order.
+
+        Held for the tokens in use; two generations bound how many.
+        """
+        if (found := self._grown.get(t)) is None:
+            found = self._old_grown.get(t) or self._grow(t)
+            if len(self._grown) > MAX_SPINES:
+                self._old_grown, self._grown = self._grown, {}
+            self._grown[t] = found
+        return found
+
+    def _grow(self, t: int):
+        """The spines of a token, None where it does not merge to itself."""
+        parts, shown = list(self.surface[t]), sys.intern
         first, last = [], []
         while len(parts) > 1:
             ranked = [(self.rank[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.rank]
@@ -76,11 +93,12 @@ class Merges:
                 return None
             r, i = min(ranked)
             if i == 0:
-                first.append((parts[0], r))
+                first.append((shown(parts[0]), r))
             if i == len(parts) - 2:
-                last.append((parts[-1], r))
+                last.append((shown(parts[-1]), r))
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return first + [(parts[0], NEVER)], last + [(parts[0], NEVER)]
+        whole = (shown(parts[0]), NEVER)
+        return (*first, whole), (*last, whole)
 
     def stable(self, a: int, b: int) -> bool:
         """Whether tokens ``a b`` side by side stay as they are: no merge ever wins across the boundary.
@@ -89,7 +107,7 @@ class Merges:
         until a known rank.  A merge of the two wins if its rank comes before either ends; of equal merges the left one
         goes first.
         """
-        if (known := self._stable.get((a, b))) is None:
+        if (known := self._stable.get(a << 32 | b)) is None:
             left, right = self._spines(a)[1], self._spines(b)[0]
             i = j = 0
             known = True
@@ -107,7 +125,7 @@ class Merges:
                     j += 1
             if len(self._stable) > MAX_PAIRS:
                 self._stable.clear()
-            self._stable[a, b] = known
+            self._stable[a << 32 | b] = known
         return known
 
 
@@ -325,7 +343,7 @@ def encode_decode(
     cols = [F.col(f"`{k}`") for k in keep] + [F.col(f"`{text}`").cast("string").alias("__text")]
     kinds = dict(docs.select(*keep).dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["n_tokens bigint"] + [f"{w} string" for w in want])
-    return docs.select(*cols).mapInArrow(_kernel(path, want, tuple(keep), "__text"), schema)
+    return small_batches(docs.select(*cols)).mapInArrow(_kernel(path, want, tuple(keep), "__text"), schema)
 
 
 def ids_array(ids: str = "ids"):

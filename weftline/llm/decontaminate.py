@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import settled, text_chunks
+from weftline.llm.batches import settled, small_batches, text_chunks
 from weftline.plans.shared import Stash
 
 Q = 8
@@ -337,7 +337,7 @@ def find_leaks(
     table on either side gives none.  Other columns are ignored.
     """
     spark, stash = docs.sparkSession, Stash(docs.sparkSession)
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    base = small_batches(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")))
     kinds = dict(base.dtypes) | {"item": dict(benchmark.dtypes)[item_id]}
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item']}, edits bigint, start bigint, end bigint"
 
@@ -396,6 +396,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     good = part.filter(pa.array([not x for x in found]))
                     yield good.rename_columns(batch.schema.names)
 
-        return rows.mapInArrow(run, rows.schema)
+        return small_batches(rows).mapInArrow(run, rows.schema)
 
     return _one_by_one(_indexes(benchmark, item_id, item_text, **options), clean, docs, stash)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import settled, text_chunks
+from weftline.llm.batches import settled, small_batches, text_chunks
 from weftline.llm.files import RangeReader, ShardWriter, split_by_volume
 from weftline.plans.shared import Stash, fresh_path
 
@@ -129,7 +129,7 @@ def store(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", te
             out.close(b"\0" * 1024)
 
     schema = f"doc_id {kind}, n_bytes bigint, digest string, shard string, offset bigint, length bigint"
-    return Stash(spark).keep(base.mapInArrow(run, schema), "media-rows")
+    return Stash(spark).keep(small_batches(base).mapInArrow(run, schema), "media-rows")
 
 
 def _read(refs: DataFrame, added: str, types: list, work):

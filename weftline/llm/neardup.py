@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import settled, text_chunks
+from weftline.llm.batches import settled, small_batches, text_chunks
 from weftline.operators.components import components
 from weftline.plans.shared import Stash
 
@@ -183,7 +183,7 @@ def near_duplicates(
     with or without ids, and null for rows without shingles.
     """
     stash = Stash(docs.sparkSession)
-    base = docs.select(*base_columns(doc_id, text))
+    base = small_batches(docs.select(*base_columns(doc_id, text)))
     carried = docs.select(*base_columns(doc_id, text), *[F.col(f"`{c}`").alias(f"carried_{c}") for c in carry])
     kinds = "".join(f", `{c}` {t}" for c, t in carried.dtypes[2:])
     signed = carried.mapInArrow(_sign(n, rows, bands), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>" + kinds)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import settled, text_chunks
+from weftline.llm.batches import settled, small_batches, text_chunks
 
 MAX_LABELLED = 6000
 MAX_POOL = 3000
@@ -193,7 +193,7 @@ def _features(batches, categories: int):
 
 def _view(docs: DataFrame, doc_id: str, text: str, size: str, categories: tuple[str, ...]) -> DataFrame:
     cats = [F.col(f"`{c}`").cast("string").alias(f"k{i}") for i, c in enumerate(categories)]
-    return docs.select(
+    return small_batches(docs).select(
         F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{size}`").cast("bigint").alias("size"), *cats
     )
 
@@ -264,4 +264,4 @@ def keep_good(docs: DataFrame, model: CoTrained, threshold: float = 0.5, text: s
                 good = held.value.score(content_features(cols[0]), meta_features(cols[2 : 2 + n], cols[1]))[2] >= threshold
                 yield part.filter(pa.array(good)).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import held_by, settled, text_chunks
+from weftline.llm.batches import held_by, settled, small_batches, text_chunks
 from weftline.llm.bpe import byte_alphabet
 from weftline.llm.files import RangeReader, ShardWriter, split_by_volume
 from weftline.plans.shared import Stash, fresh_path
@@ -219,7 +219,7 @@ def write_ids(
     spark = docs.sparkSession
     place = folder or fresh_path(spark, "ids")
     base = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    ordered = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = small_batches(base).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     end = struct.pack("<I", end_id)
     names = ["doc_id", "part", "at", "shard", "offset", "length", "start", "n_tokens"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
