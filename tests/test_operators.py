@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import struct
@@ -203,6 +204,43 @@ def test_delaunay_and_refinement_properties(spark):
         assert geometry._least_angle((r.ax, r.ay), (r.bx, r.by), (r.cx, r.cy)) >= math.radians(29.99)
 
 
+def empty_circles(points):
+    """Triangles of distinct corners whose circle holds no point, by exact arithmetic on all of them."""
+    return {
+        t for t in itertools.permutations(sorted(points), 3)
+        if t[0] == min(t) and geometry.orientation(*t) > 0 and all(geometry.circle_side(*t, p) <= 0 for p in points)
+    }
+
+
+@FEW
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5)), max_size=12))
+def test_triangulation_of_grid_points(points):
+    """Collinear, equal and cocircular points: a valid triangulation of the hull by triangles with empty circles."""
+    t = geometry.Triangulation()
+    for p in points:
+        t.insert((float(p[0]), float(p[1])))
+    got = [tuple(t.points[i] for i in x) for x in t.triangles()]
+    area = sum(geometry.orientation(*x) for x in got)
+    hull = geometry.hull_of([(*p, i) for i, p in enumerate(sorted(set(points)))])
+    twice = sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(hull, hull[1:] + hull[:1], strict=True))
+    assert area == abs(twice)
+    assert all(geometry.circle_side(*x, p) <= 0 for x in got for p in t.points)
+    assert not got or {p for x in got for p in x} == set(t.points)
+
+
+def test_triangulation_of_flat_hulls():
+    rng = random.Random(3)
+    sets = [[(0, 0), (1, 0), (0.5, 1e-6)], [(0, 0), (1, 0), (0.5, 1e-6), (0.5, 1)], [(i, i * i * 1e-13) for i in range(9)]]
+    sets += [[(rng.random(), rng.random() * 10.0 ** -rng.randint(0, 16)) for _ in range(9)] for _ in range(20)]
+    for points in sets:
+        for order in (points, points[::-1]):
+            t = geometry.Triangulation()
+            for p in order:
+                t.insert((float(p[0]), float(p[1])))
+            got = {x[(k := x.index(min(x))) :] + x[:k] for x in (tuple(t.points[i] for i in y) for y in t.triangles())}
+            assert got == empty_circles([(float(x), float(y)) for x, y in points])
+
+
 @FEW
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 50)), max_size=12), st.integers(0, 40))
 def test_knapsack(spark, items, capacity):

@@ -107,6 +107,12 @@ def test_graph_queries_on_the_whole_graph(spark, sf, edges, parts):
     assert rows(QUERIES["q40_spanning_forest"](spark, sf), "id") == forest(edges)
 
 
+def test_rounds_on_the_whole_graph(spark, sf, edges, parts):
+    assert rows(QUERIES["q37b_independent_set_rounds"](spark, sf), "v") == chosen(edges, parts)
+    assert rows(QUERIES["q38b_matching_rounds"](spark, sf), "id") == matched(edges)
+    assert rows(QUERIES["q39b_spanning_tree_rounds"](spark, sf), "id") == forest(sorted(edges, key=lambda e: (e[3], e[0])))
+
+
 def test_bfs_rounds_on_the_whole_graph(spark, edges):
     e = spark.createDataFrame(edges, "id bigint, u bigint, v bigint, w bigint").coalesce(1)
     assert rows(graph.bfs(graph.both_ways(e), min(u for _, u, _, _ in edges), small=False), "v", "level") == sorted(levels(edges).items())

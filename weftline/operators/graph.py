@@ -95,7 +95,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id: str = "id",
 
         named = in_one_task(edges.select("u", "v"), kernel, "v bigint, comp bigint")
     else:
-        named = components(edges)
+        named = components(edges, small=False)
     return vertices.select(F.col(id).alias("v")).join(named, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"))
 
 
@@ -148,7 +148,7 @@ def maximal_matching(edges: DataFrame, small: bool | None = None) -> DataFrame:
             return {"id": out}
 
         return in_one_task(rows, kernel, "id bigint")
-    return reserve_and_commit(rows.select("id", F.array("u", "v").alias("keys")))
+    return reserve_and_commit(rows.select("id", F.array("u", "v").alias("keys")), small=small)
 
 
 def minimum_spanning_forest(edges: DataFrame, weight: str = "w", small: bool | None = None) -> DataFrame:

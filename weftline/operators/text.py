@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.blocked import scan_blocks, sorted_positions
-from weftline.plans.fixpoint import in_one_task, is_small
+from weftline.plans.fixpoint import is_small, one_table
 from weftline.plans.shared import Stash
 
 
+SMALL_BYTES = 4_000_000  # some 50 bytes of memory each in one task
+
+
 def byte_sequence(texts: DataFrame, text: str, start: Column | None = None) -> DataFrame:
     """``(idx, b)`` of the bytes of the texts; ``idx`` counts from ``start`` (0 for a single text)."""
     data, first = F.col(text).cast("binary"), F.lit(0) if start is None else start
@@ -24,11 +28,11 @@ def suffix_array(seq: DataFrame, small: bool | None = None) -> DataFrame:
 
     Prefix doubling: suffixes are ranked by their first k symbols, then by pairs of ranks k apart.
     """
-    if is_small(seq, 2_000_000) if small is None else small:
+    if is_small(seq, SMALL_BYTES) if small is None else small:
 
         def kernel(s):
-            order = np.argsort(np.array(s["idx"], np.int64), kind="stable")
-            rank = np.array(s["b"], np.int64)[order] + 1
+            order = np.argsort(s.column(0).to_numpy(), kind="stable")
+            rank = s.column(1).to_numpy().astype(np.int64)[order] + 1
             n, k = len(rank), 1
             at = np.argsort(rank, kind="stable")
             while n:
@@ -40,9 +44,9 @@ def suffix_array(seq: DataFrame, small: bool | None = None) -> DataFrame:
                 if rank[at[-1]] == n or k >= n:
                     break
                 k *= 2
-            return {"pos": list(range(n)), "idx": at.tolist()}
+            return pa.table({"pos": np.arange(n), "idx": at})
 
-        return in_one_task(seq.select("idx", "b"), kernel, "pos bigint, idx bigint")
+        return one_table(seq.select("idx", "b"), kernel, "pos bigint, idx bigint")
     stash, k, n = Stash(seq.sparkSession), 1, seq.count()
     now = stash.keep(seq.select("idx", (F.col("b").cast("bigint") + 1).alias("r")), "ranks")
     while True:

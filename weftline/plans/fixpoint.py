@@ -39,7 +39,7 @@ def one_table(df: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str
 
     def run(batches):
         whole = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=given) for b in batches], given)
-        yield from kernel(whole).cast(kind).combine_chunks().to_batches()
+        yield from kernel(whole).select(kind.names).cast(kind).combine_chunks().to_batches()
 
     return df.coalesce(1).mapInArrow(run, struct)
 
@@ -47,26 +47,33 @@ def one_table(df: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str
 def in_one_task(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Like ``one_table`` with the rows as lists by column."""
 
-    def run(whole: pa.Table) -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
+    return one_table(df, lambda whole: pa.table({c: pa.array(v) for c, v in kernel(whole.to_pydict()).items()}), schema)
 
-        return pa.Table.from_pydict(kernel(whole.to_pydict()), schema=to_arrow_schema(StructType.fromDDL(schema)))
 
-    return one_table(df, run, schema)
-
-
-def reserve_and_commit(items: DataFrame, keys: str = "keys") -> DataFrame:
+def reserve_and_commit(items: DataFrame, keys: str = "keys", small: bool | None = None) -> DataFrame:
     """``id`` of the items that a sequential pass in id order would commit, when an item needs all its ``keys`` unused.
 
     Every round all remaining items reserve their keys, the smallest id wins each key, and an item that wins all of its
-    own commits; items that share a key with a committed one are out.  An item without keys commits.
+    own commits; items that share a key with a committed one are out.  An item without keys commits.  What is left when it
+    is small is passed through in order by one task, as a chain of items would commit only a few a round; ``small=False``
+    keeps to rounds.
     """
     stash = Stash(items.sparkSession)
     rows = items.select("id", F.array_distinct(keys).alias("keys"))
     free = rows.where("coalesce(size(keys), 0) <= 0").select("id")
     left, chosen = stash.keep(rows.where("size(keys) > 0"), "left"), free
+
+    def in_order(rows: dict[str, list]) -> dict[str, list]:
+        used, out = set(), []
+        for i, ks in sorted(zip(rows["id"], rows["keys"], strict=True)):
+            if used.isdisjoint(ks):
+                used.update(ks)
+                out.append(i)
+        return {"id": out}
+
     while not left.isEmpty():
+        if small is None and is_small(left):
+            return chosen.union(in_one_task(left, in_order, f"id {dict(left.dtypes)['id']}"))
         each = left.select("id", F.size("keys").alias("need"), F.explode("keys").alias("key"))
         held = each.groupBy("key").agg(F.min("id").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("won"))
         won = stash.keep(left.join(held, "id").where("won = size(keys)").select("id", "keys"), "won")
