@@ -266,6 +266,52 @@ def test_classifier_edges(spark):
     assert same[0] == same[1]
 
 
+def test_exchange_covers_every_unlabelled_document(spark):
+    """The counts and gradients of a round, and the model, against one pass in plain numpy; dealt in other ways, the same."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet").orderBy("doc_id").limit(60)
+    ones = [quality.train(docs.repartition(k), labels) for k in (1, 7)]
+    given = {r.doc_id: r.quality for r in labels.collect()}
+    rows = docs.collect()
+    assert len(rows) > len(given)
+
+    def views(some):
+        return [quality.content_features([r.text for r in some]), quality.meta_features([[r.source for r in some], [r.lang for r in some]], [r.n_chars for r in some])]
+
+    free = views([r for r in rows if r.doc_id not in given])
+    seen = []
+
+    def others(models, confident):
+        out = []
+        for v, other in ((0, 1), (1, 0)):
+            slope, offset = models[other].platt
+            p = 1 / (1 + np.exp(-(slope * models[other].margin(free[other]) + offset)))
+            q = 1 / (1 + np.exp(-models[v].margin(free[v])))
+            z = models[v].design(free[v])
+            for side in (0, 1):
+                rows_of = [i for i in range(len(p)) if (p[i] if side else 1 - p[i]) >= confident]
+                pull = sum((np.rint(z[i] * (q[i] - side) * 2**20) for i in rows_of), np.zeros(z.shape[1]))
+                out += [[len(rows_of)], pull]
+        seen.append(np.concatenate(out))
+        return seen[-1]
+
+    known = sorted((r for r in rows if r.doc_id in given), key=lambda r: (quality.xxhash.xxh3_64_intdigest(str(r.doc_id)), r.doc_id))
+    plain = quality.CoTrained().fit(*views(known), np.array([given[r.doc_id] for r in known]), others)
+    alone = quality.CoTrained().fit(*views(known), np.array([given[r.doc_id] for r in known]))
+    for one in ones:
+        assert one.taught == plain.taught and len(one.taught) == quality.ROUNDS and sum(one.taught[0]) > 0
+        for m, p, a in zip(one.models, plain.models, alone.models, strict=True):
+            assert np.allclose(m.w, p.w, atol=1e-4)
+            assert not np.allclose(m.w, a.w, atol=1e-3)
+
+
+def test_labelled_id_with_several_texts_has_one_defined_row(spark):
+    rows = [(i % 20, f"text {'good ' * (i % 7)} number {i}", "en", "s", 9 + i) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    a, b = (quality.train(spark.createDataFrame(r, DOCS).repartition(k), labels) for r, k in ((rows, 2), (rows[::-1], 5)))
+    assert all(np.array_equal(m.w, o.w) for m, o in zip(a.models, b.models, strict=True)) and not any(map(sum, a.taught))
+
+
 # id files -----------------------------------------------------------------------------------------------------------
 
 
