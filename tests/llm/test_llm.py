@@ -347,6 +347,21 @@ def test_grammar_round_trip_and_random_access():
     assert len(repair.pack(np.tile(rng.integers(0, 50, 100), 200).astype("<u4"))) < 20_000
 
 
+@pytest.mark.parametrize("ids", [np.full(1 << 18, 1), np.tile(np.arange(700), 300), np.random.default_rng(5).integers(0, 4, 50_000)], ids=["one id", "copies", "noise"])
+def test_grammar_ends_where_no_pair_saves(ids):
+    """No pair is left with eight places side by side of each other, whatever the depth; deep symbols are read in parts."""
+    base, rules, lengths, rest = repair.compress(ids.astype("<u4"))
+    places, last = {}, {}
+    for i, pair in enumerate(zip(rest[:-1].tolist(), rest[1:].tolist(), strict=True)):
+        if last.get(pair) != i - 1:
+            places[pair], last[pair] = places.get(pair, 0) + 1, i
+    assert max(places.values(), default=0) < 2 * repair.LEAST
+    assert lengths.max(initial=1) > 64 or len(set(ids.tolist())) == 4
+    s = repair.Segment(repair.pack(ids.astype("<u4")))
+    for a in range(0, len(ids), 997):
+        assert (s.ids(a, min(a + 3, len(ids))) == ids[a : a + 3]).all()
+
+
 # chats --------------------------------------------------------------------------------------------------------------
 
 CHAT = "conv_id bigint, turn bigint, role string, text string"

@@ -1,11 +1,11 @@
 """Token-id files with Re-Pair grammar compression.
 
 Documents are ordered by id over range partitions.  Each task encodes its documents, cuts the id sequence into segments,
-and compresses each segment by Re-Pair: in every round the frequent pairs of neighbouring ids become nonterminals and
-are replaced throughout, until a round saves too little.  A round takes many pairs at once; where chosen pairs overlap,
-every other one from the left is replaced.  A segment stores its rules, the expansion length of every rule, the
-remaining symbols, and the expanded position of every ``STRIDE``-th symbol; so any range of ids is decoded by expanding
-only the symbols that cover it.
+and compresses each segment by Re-Pair: in every round the most frequent pairs of neighbouring symbols become nonterminals
+and are replaced throughout, until no pair has ``LEAST`` places, or there are ``MOST_RULES`` rules, about as many as two-byte symbols
+have numbers for.  A round takes many pairs at once; where chosen pairs overlap, every other one from the left is
+replaced.  A segment stores its rules, the expansion length of every rule, the remaining symbols, and the expanded
+position of every ``STRIDE``-th symbol; so any range of ids is decoded from the parts of symbols that cover it.
 
 Segment layout (little-endian): magic, six uint64 (base, rules, symbols, ids, bytes of a symbol, stride); rules as pairs
 of uint32; expansion lengths uint32; symbols uint16 or uint32; positions uint64.
@@ -34,52 +34,59 @@ HEAD = struct.Struct("<8s6Q")
 SEGMENT_IDS = 1 << 20
 SHARD_BYTES = 512 << 20
 STRIDE = 256
-ROUNDS = 6
-LEAST_SAVED = 0.02
+LEAST = 8
+FEW = 4096
+AT_ONCE = 4096
 MOST_RULES = 16_000
 MAX_WORDS = 250_000
 CHUNK = 4 << 20
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """``(base, rules, lengths, symbols)``: symbols below ``base`` are ids, the others number the rules from it."""
+def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """``(base, rules, lengths, symbols)``: symbols below ``base`` are ids, the others number the rules from it.
+
+    Frequent pairs go first: the frequency asked for falls by half whenever few pairs reach it, down to ``LEAST``, below
+    which a rule costs more than it saves; the end is where no pair reaches that.
+    """
     base = int(ids.max()) + 1 if len(ids) else 1
-    s, rules, lengths = ids.astype(np.int64), [], []
+    s, rules, lengths = ids.astype(np.int64), [], np.empty(0, np.int64)
     room = min(MOST_RULES, max(0, (1 << 16) - base)) or MOST_RULES
-    for _ in range(rounds):
-        n = len(s)
-        if n < 64 or room <= 0:
-            break
+    asked = max(LEAST, len(s) // 20_000)
+    while len(s) >= LEAST and room > 0:
         key = (s[:-1] << 32) | s[1:]
         slot = (key * 0x5851F42D4C957F2D & 0x7FFFFFFFFFFFFFFF) >> 43
-        often = np.bincount(slot, minlength=1 << 20) >= max(8, n // 20_000)
+        often = np.bincount(slot, minlength=1 << 20) >= asked
         at = np.flatnonzero(often[slot])
         pairs, inverse, count = np.unique(key[at], return_inverse=True, return_counts=True)
-        chosen = np.flatnonzero(count >= max(8, n // 20_000))
-        chosen = chosen[np.argsort(-count[chosen], kind="stable")[: min(room, 4096)]]
-        if not len(chosen):
-            break
+        chosen = np.flatnonzero(count >= asked)
+        chosen = chosen[np.argsort(-count[chosen], kind="stable")[: min(room, AT_ONCE)]]
+        last, asked = asked, max(LEAST, asked // 2) if len(chosen) < FEW else asked
         number = np.full(len(pairs), -1, np.int64)
         number[chosen] = np.arange(len(chosen))
         keep = number[inverse] >= 0
         at, rule = at[keep], number[inverse][keep]
-        first = np.concatenate([[True], np.diff(at) > 1])
+        first = np.diff(at, prepend=-2) > 1
         run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
         even = (np.arange(len(at)) - run) % 2 == 0
         at, rule = at[even], rule[even]
-        if len(at) < LEAST_SAVED * n:
-            break
+        # Of overlapping pairs some lose most of their places; those are left to later rounds.
+        worth = np.bincount(rule, minlength=len(chosen)) >= LEAST // 2
+        at, rule = at[worth[rule]], rule[worth[rule]]
+        if not len(at):
+            if last == LEAST:
+                break
+            asked = max(LEAST, last // 2)
+            continue
         used, rule = np.unique(rule, return_inverse=True)
         made = pairs[chosen[used]]
-        now = base + len(rules)
-        known = np.array(lengths, np.int64)
-        size = [np.where(x < base, 1, known[np.maximum(x - base, 0)] if len(known) else 1) for x in (made >> 32, made & 0xFFFFFFFF)]
-        rules += list(zip((made >> 32).tolist(), (made & 0xFFFFFFFF).tolist(), strict=True))
-        lengths += (size[0] + size[1]).tolist()
-        s[at] = now + rule
+        left, right = made >> 32, made & 0xFFFFFFFF
+        size = np.concatenate([np.ones(base, np.int64), lengths])
+        s[at] = base + len(lengths) + rule
         s = np.delete(s, at + 1)
+        rules.append(np.stack([left, right], 1))
+        lengths = np.concatenate([lengths, size[left] + size[right]])
         room -= len(made)
-    return base, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32), s
+    return base, np.concatenate([np.empty((0, 2), np.int64), *rules]).astype(np.uint32), lengths.astype(np.uint32), s
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -120,24 +127,23 @@ class Segment:
             run = out
         self.flat, self.place = run.astype("<u4"), np.cumsum(self.size) - self.size
 
-    def expand(self, s: np.ndarray) -> np.ndarray:
-        """Ids of a run of symbols."""
-        size = self.size[s]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.place[s] - ends + size, size) + np.arange(int(ends[-1]) if len(s) else 0)]
-
     def ids(self, start: int, stop: int) -> np.ndarray:
-        """Ids ``start`` to ``stop`` (not included), from the symbols that cover them."""
+        """Ids ``start`` to ``stop`` (not included), from the parts of symbols that cover them."""
         if stop <= start:
             return np.empty(0, "<u4")
         mark = int(np.searchsorted(self.starts, start, "right")) - 1
         after = int(np.searchsorted(self.starts, stop, "left"))
         run = self.symbols[mark * self.stride : after * self.stride]
-        ends = np.cumsum(self.size[run])
-        a = int(np.searchsorted(ends, start - self.starts[mark], "right"))
-        b = int(np.searchsorted(ends, stop - self.starts[mark], "left")) + 1
-        skip = start - int(self.starts[mark]) - (int(ends[a - 1]) if a else 0)
-        return self.expand(run[a:b])[skip : skip + stop - start]
+        size = self.size[run]
+        ends = np.cumsum(size) + self.starts[mark]
+        a = int(np.searchsorted(ends, start, "right"))
+        b = int(np.searchsorted(ends, stop, "left")) + 1
+        place, size = self.place[run[a:b]], size[a:b]
+        skip = start - int(ends[a]) + int(size[0])
+        place[0] += skip
+        size[0] -= skip
+        size[-1] -= int(ends[b - 1]) - stop
+        return self.flat[np.repeat(place - np.cumsum(size) + size, size) + np.arange(stop - start)]
 
 
 #: Pieces of these characters are normal in form and are cut by PLAIN as the library would; all others are left to it.
