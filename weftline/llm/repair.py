@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,9 @@ AT_ONCE = 4096
 MOST_RULES = 16_000
 MAX_WORDS = 250_000
 CHUNK = 4 << 20
+READ = 1 << 16
+#: Multipliers of the hash by which pairs are counted.
+ODD = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,15 +53,14 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     which a rule costs more than it saves; the end is where no pair reaches that.
     """
     base = int(ids.max()) + 1 if len(ids) else 1
-    s, rules, lengths = ids.astype(np.int64), [], np.empty(0, np.int64)
+    s, rules, lengths = ids.astype(np.uint32), [], np.empty(0, np.int64)
     room = min(MOST_RULES, max(0, (1 << 16) - base)) or MOST_RULES
     asked = max(LEAST, len(s) // 20_000)
     while len(s) >= LEAST and room > 0:
-        key = (s[:-1] << 32) | s[1:]
-        slot = (key * 0x5851F42D4C957F2D & 0x7FFFFFFFFFFFFFFF) >> 43
-        often = np.bincount(slot, minlength=1 << 20) >= asked
-        at = np.flatnonzero(often[slot])
-        pairs, inverse, count = np.unique(key[at], return_inverse=True, return_counts=True)
+        slot = ((s[:-1] * ODD[0]) ^ (s[1:] * ODD[1])) * ODD[2] >> np.uint32(14)
+        at = np.flatnonzero((np.bincount(slot, minlength=1 << 18) >= asked)[slot])
+        key = s[at].astype(np.int64) << 32 | s[at + 1]
+        pairs, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         chosen = np.flatnonzero(count >= asked)
         chosen = chosen[np.argsort(-count[chosen], kind="stable")[: min(room, AT_ONCE)]]
         last, asked = asked, max(LEAST, asked // 2) if len(chosen) < FEW else asked
@@ -82,7 +85,9 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         left, right = made >> 32, made & 0xFFFFFFFF
         size = np.concatenate([np.ones(base, np.int64), lengths])
         s[at] = base + len(lengths) + rule
-        s = np.delete(s, at + 1)
+        stays = np.ones(len(s), bool)
+        stays[at + 1] = False
+        s = s[stays]
         rules.append(np.stack([left, right], 1))
         lengths = np.concatenate([lengths, size[left] + size[right]])
         room -= len(made)
@@ -160,8 +165,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
-            ids = self.encoder.piece(piece)
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = self.encoder.piece(piece)
         self[piece] = found
         return found
 
@@ -184,14 +188,21 @@ class WordEncoder:
         self.shown = {b: c for c, b in byte_alphabet().items()}
         self.pieces = _Pieces(self)
 
-    def piece(self, piece: str) -> list[int]:
+    def word(self, w: str) -> bytes:
+        """Ids of what ``PLAIN`` cuts."""
+        known = dict.get(self.pieces, w) or self.pieces.old.get(w)
+        if known is None:
+            ids = [t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.shown))]
+            known = struct.pack(f"<{len(ids)}I", *ids)
+        return known
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece as little-endian uint32; words in it that are known as pieces of their own are looked up."""
         if "<|" in piece or not SAFE(piece):
-            return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        out: list[int] = []
-        for w in PLAIN(piece.lower()):
-            word = w if w.isascii() else w.encode().decode("latin-1").translate(self.shown)
-            out += [t.id for t in self.model.tokenize(word)]
-        return out
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        words = PLAIN(piece.lower())
+        return b"".join([self.word(w) for w in words])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
@@ -283,14 +294,22 @@ def read_ids(refs: DataFrame, columns: str, types: list, work) -> DataFrame:
 
     @settled("repair")
     def run(batches):
-        reader, held = RangeReader(), (None, None)
+        reader, held, data, first = RangeReader(), (None, None), np.empty(0, "<u4"), 0
         try:
             for batch in batches:
-                rows = []
-                for shard, offset, length, start, n in zip(*[batch.column(i).to_pylist() for i in at], strict=True):
+                rows, known = [], list(zip(*[batch.column(i).to_pylist() for i in at], strict=True))
+                for k, (shard, offset, length, start, n) in enumerate(known):
                     if held[0] != (shard, offset):
-                        held = (shard, offset), Segment(reader.read(shard, offset, length))
-                    rows.append(work(held[1].ids(start, start + n)))
+                        held, data = ((shard, offset), Segment(reader.read(shard, offset, length))), data[:0]
+                    if not first <= start <= start + n <= first + len(data):
+                        # The documents that follow at once are decoded with it, up to READ ids.
+                        stop = start + n
+                        for s, o, _, a, m in islice(known, k + 1, None):
+                            if (s, o) != held[0] or a != stop or stop + m - start > READ:
+                                break
+                            stop += m
+                        first, data = start, held[1].ids(start, stop)
+                    rows.append(work(data[start - first : start - first + n]))
                 more = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *new])
         finally:
