@@ -442,6 +442,18 @@ def test_url_decisions_travel(spark):
     assert urls.filter_urls(df.limit(0), URL_RULES).count() == 0 and urls.filter_urls(df, []).where("rule IS NOT NULL").count() == 0
 
 
+def test_every_link_of_a_page_is_resolved(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.net/b/c/d?q", "http://a.net", "http://a.net/", "http://a.net/x"]
+    forms = ["g", "./g", "g/", "/g", "//h.org/g", "?y", "g?y#s", "../g", "../../g", "../../../g", "..", ".", "./", "/../g", "/./g/.", "https://k.com/p"]
+    pages = [(b, f'<LINK rel="canonical" href="{f}"><link rel=canonical href="/second"><meta http-equiv="refresh" content="5;url=/third">') for b in bases for f in forms]
+    got = urls.links(spark.createDataFrame(pages, "url string, html string"), "url", "html").collect()
+    want = [(b, urljoin(b, x)) for b in bases for f in forms for x in (f, "/second", "/third")]
+    plain = lambda rows: sorted((u, t.rstrip("/") if t.count("/") == 3 else t) for u, t in rows)
+    assert plain(got) == plain(want)
+
+
 def test_long_rule_lists_decide_alike(spark, monkeypatch):
     rng = random.Random(8)
     hosts, paths = ["com", "a.com", "b.a.com", "net", "x.net", "A.com"], ["/", "/e", "/en/", "/en/7", "", "/d"]

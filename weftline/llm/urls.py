@@ -3,7 +3,7 @@
 A rule is (verdict, host, path): it fits its host and all subdomains where the URL's path begins with the rule's path,
 and the longest fitting rule decides.  A URL that no rule fits takes the decision of its redirect class, the connected
 component of the graph whose edges are the links by which pages name another address of themselves: canonical links and
-immediate refreshes.  An explicit allow in the class takes precedence over a block; a class without either is allowed.
+refreshes, whatever their delay.  An explicit allow in the class takes precedence over a block; a class without either is allowed.
 
 Components are computed on the cluster over 128-bit keys of the addresses; the page texts are read once, for the links,
 and never shuffled.  Built-in functions only.
@@ -84,21 +84,36 @@ def address(host: Column, path: Column, query: Column) -> Column:
     return F.md5(F.concat(host, path, query))
 
 
+def without_dots(path: Column) -> Column:
+    """``path`` (which begins with ``/``) with its ``.`` and ``..`` segments resolved."""
+    parts = F.slice(F.split(path, "/"), 2, F.length(path) + 1)
+    last = F.element_at(parts, -1)
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(parts, start, lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.array_append(a, x)))
+    out = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(last.isin(".", "..") & (F.size(kept) > 0), F.concat(out, F.lit("/"))).otherwise(out)
+
+
 def links(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """``(url, target)`` for the canonical link and the refresh of each page, targets made absolute."""
+    """``(url, target)`` for every canonical link and refresh of each page, targets made absolute as RFC 3986 says."""
     def found(mark: str, tag: str, inner: str) -> Column:
         near = F.contains(F.lower(F.col(html)), F.lit(mark))
-        return F.when(near, F.replace(F.regexp_extract(F.regexp_extract(F.col(html), tag, 0), inner, 1), F.lit("&amp;"), F.lit("&")))
+        tags = F.transform(F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(0)), lambda x: F.replace(F.regexp_extract(x, inner, 1), F.lit("&amp;"), F.lit("&")))
+        return F.when(near, tags).otherwise(F.array().cast("array<string>"))
 
-    both = F.array_compact(F.array(found("canonical", CANONICAL, HREF), found("refresh", REFRESH, TARGET)))
-    out = pages.select(F.col(url).alias("url"), F.explode_outer(both).alias("t")).where("t <> '' AND url LIKE '%://%'")
+    both = F.concat(found("canonical", CANONICAL, HREF), found("refresh", REFRESH, TARGET))
+    out = pages.select(F.col(url).alias("url"), F.explode(both).alias("t")).where("t <> '' AND url LIKE '%://%'")
     scheme = F.regexp_extract("url", r"^[^:]*:", 0)
     origin = F.regexp_extract("url", r"^[^:]*://[^/?#]*", 0)
-    folder = F.regexp_extract("url", r"^[^:]*://[^/?#]*[^?#]*/", 0)
+    path = F.regexp_extract("url", r"^[^:]*://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)?", 1))
+    own, rest = F.regexp_extract("t", r"^[^?#]*", 0), F.regexp_extract("t", r"[?#].*$", 0)
     target = (
-        F.when(F.contains(F.col("t"), F.lit("://")), F.col("t")).when(F.startswith("t", F.lit("//")), F.concat(scheme, "t"))
-        .when(F.startswith("t", F.lit("/")), F.concat(origin, "t"))
-        .otherwise(F.concat(F.when(F.length(folder) > F.length(origin), folder).otherwise(F.concat(origin, F.lit("/"))), F.col("t")))
+        F.when(F.col("t").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), F.col("t")).when(F.startswith("t", F.lit("//")), F.concat(scheme, "t"))
+        .when(F.startswith("t", F.lit("/")), F.concat(origin, without_dots(own), rest))
+        .when(F.startswith("t", F.lit("?")), F.concat(origin, path, "t"))
+        .when(F.startswith("t", F.lit("#")), F.col("url"))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, own)), rest))
     )
     return out.select("url", target.alias("target"))
 
