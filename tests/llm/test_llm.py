@@ -79,6 +79,32 @@ def test_bpe_decodes_arrays_and_generations_do_not_matter(spark):
         assert [list(x) for x in small.round_trip([t])] == [list(x) for x in whole.round_trip([t])]
 
 
+def test_bpe_walk_asks_the_vocabulary_once_a_step(monkeypatch):
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            Asked.n += 1
+            return super().get(*a)
+
+        def __contains__(self, k):
+            Asked.n += 1
+            return super().__contains__(k)
+
+    m, rng = bpe.Merges(tokenizer("byte_bpe_50k.json")), random.Random(3)
+    words = sorted({"Ġ" + "".join(rng.choice(["the", "tion", "an", "er", "x", "Ã©"]) for _ in range(rng.randint(1, 6))) for _ in range(400)})
+    m.opening = Asked(m.opening)
+    first = list(bpe.encode_words(m, words))
+    assert [[m.surface[i] for i in ids] for ids in first] == [m.merged(w) for w in words]
+    asked, Asked.n = Asked.n, 0
+    again = list(bpe.encode_words(m, words))
+    assert again == first and asked and not Asked.n
+    monkeypatch.setattr(bpe, "MAX_STEPS", 7)  # steps are made anew time and again
+    few = bpe.Merges(tokenizer("byte_bpe_50k.json"))
+    again, states = list(bpe.encode_words(few, words)), len(few._states)
+    assert again == first and states <= 8
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 

@@ -14,10 +14,12 @@ bounds memory and changes nothing in the results.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 
 from weftline.llm.batches import give_back, held_by, settled, small_batches, text_chunks
 
-MAX_PIECES = 50_000
-MAX_WORDS = 30_000
+MAX_PIECES = 100_000
+MAX_WORDS = 60_000
 MAX_PAIRS = 150_000
 MAX_SPINES = 6_000
+MAX_STEPS = 150_000
 CHUNK = 1 << 20
 NEVER = 1 << 60
 
@@ -56,10 +59,29 @@ class Merges:
         for token, i in self.vocab.items():
             if len(token) > 1 and self._grow(i) is None:
                 self.opening[token] = -1
-        self._stable: dict[int, bool] = {}
+        #: Of pairs of tokens, whether they are stable, as far as was asked.
+        self.known: dict[int, bool] = {}
+        self._states: dict[str, State] = {}
+        self._steps = 0
+        self.root = self._state("")
         del spec, pairs
         give_back()
 
+    def _state(self, text: str) -> State:
+        if (found := self._states.get(text)) is None:
+            found = self._states[text] = State(self, text)
+        return found
+
+    def step(self, state: State, c: str, text: str) -> State:
+        """Note that ``c`` leads from ``state`` to the state of ``text``; beyond a stated number all steps are made anew."""
+        if self._steps >= MAX_STEPS:
+            for x in self._states.values():
+                x.clear()
+            self._states, self._steps = {"": self.root}, 0
+        self._steps += 1
+        found = state[c] = self._state(text)
+        return found
+
     def merged(self, text: str) -> list[str]:
         """The merges applied by definition, lowest rank first and leftmost first; for short strings and tests."""
         parts = list(text)
@@ -107,7 +129,7 @@ class Merges:
         until a known rank.  A merge of the two wins if its rank comes before either ends; of equal merges the left one
         goes first.
         """
-        if (known := self._stable.get(a << 32 | b)) is None:
+        if (known := self.known.get(a << 32 | b)) is None:
             left, right = self._spines(a)[1], self._spines(b)[0]
             i = j = 0
             known = True
@@ -123,40 +145,66 @@ class Merges:
                     i += 1
                 else:
                     j += 1
-            if len(self._stable) > MAX_PAIRS:
-                self._stable.clear()
-            self._stable[a << 32 | b] = known
+            if len(self.known) > MAX_PAIRS:
+                self.known.clear()
+            self.known[a << 32 | b] = known
         return known
 
 
+class State(dict):
+    """The longest open beginning of a token at the end of what was read; the next states by character, made as needed.
+
+    ``ends`` are the tokens that end there, the longest first, each with its length.
+    """
+
+    __slots__ = ("ends", "merges", "text")
+
+    def __init__(self, merges: Merges, text: str):
+        tails = [(merges.opening.get(text[i:], -1), len(text) - i) for i in range(len(text))]
+        self.merges, self.text, self.ends = merges, text, tuple([x for x in tails if x[0] >= 0])
+
+    def __repr__(self) -> str:
+        return f"State({self.text!r})"
+
+    def __missing__(self, c: str) -> State:
+        text, opening = self.text + c, self.merges.opening
+        while text and text not in opening:
+            text = text[1:]
+        return self.merges.step(self, c, text)
+
+
 def encode_words(merges: Merges, words: list[str]) -> Iterator[list[int]]:
     """Token ids of each word of a sorted list.
 
     Sorted words are the depth-first order of their trie: what a word shares with the one before is the path from the
     root that both hang on.  The stack keeps, for each node of the current path, its last token, the depth at which
-    that token begins, and the depths from which a longer token is still open.
+    that token begins, and the state that names the tokens which end there.
     """
-    opening, stable = merges.opening, merges.stable
-    last, start, still = [-1], [0], [[]]
+    known, stable = merges.known, merges.stable
+    last, start, states = [-1], [0], [merges.root]
     before = ""
     for word in words:
-        n, depth = min(len(word), len(before)), 0
-        while depth < n and word[depth] == before[depth]:
-            depth += 1
-        del last[depth + 1 :], start[depth + 1 :], still[depth + 1 :]
-        for d in range(depth + 1, len(word) + 1):
-            now, token, begin = [], -1, -1
-            for b in (*still[-1], d - 1):
-                t = opening.get(word[b:d])
-                if t is not None:
-                    now.append(b)
-                    if t >= 0 and token < 0 and (not b or stable(last[b], t)):
-                        token, begin = t, b
-            if token < 0:
+        n, d = min(len(word), len(before)), 0
+        while d < n and word[d] == before[d]:
+            d += 1
+        del last[d + 1 :], start[d + 1 :], states[d + 1 :]
+        state = states[d]
+        for c in word[d:]:
+            d += 1
+            state = state[c]
+            for t, k in state.ends:
+                if k == d:
+                    break
+                a = last[d - k]
+                if (fits := known.get(a << 32 | t)) is None:
+                    fits = stable(a, t)
+                if fits:
+                    break
+            else:
                 raise ValueError(f"no encoding ends at {d} of {word[:40]!r}")
-            last.append(token)
-            start.append(begin)
-            still.append(now)
+            last.append(t)
+            start.append(d - k)
+            states.append(state)
         before = word
         ids, d = [], len(word)
         while d:
@@ -210,21 +258,33 @@ class Codec:
             return [self._shown(w) for w in PLAIN(piece)]
         return [w for w, _ in self.split(piece)]
 
-    def _learn_words(self, words: set[str]) -> None:
-        """Encode distinct pre-tokens, the new ones by one depth-first walk."""
+    def _encoded(self, words: list[str]) -> Iterator[Entry]:
+        """Entries of distinct pre-tokens in the alphabet of the vocabulary, sorted, by one depth-first walk."""
+        digit, data = self.digits.__getitem__, self.bytes.__getitem__
+        for ids in encode_words(self.merges, words):
+            if len(ids) == 1:
+                yield digit(ids[0]), data(ids[0]), 1
+            else:
+                yield ",".join(map(digit, ids)), b"".join(map(data, ids)), len(ids)
+
+    def _learn_words(self, words: set[str], plain: list[str] = ()) -> None:
+        """Encode the pre-tokens that are new and, by the same depth-first walk, pieces that are one pre-token after a blank."""
         if len(self.words) > MAX_WORDS:
             self.old_words, self.words = self.words, {}
-        now, old, digits, data = self.words, self.old_words, self.digits, self.bytes
-        new = []
-        for w in words:
-            if w not in now:
-                if w in old:
-                    now[w] = old[w]
-                else:
-                    new.append(w)
-        new.sort()
-        for w, ids in zip(new, encode_words(self.merges, new), strict=True):
-            now[w] = ",".join([digits[i] for i in ids]), b"".join([data[i] for i in ids]), len(ids)
+        now, old, pieces = self.words, self.old_words, self.pieces
+        new = set()
+        for w in words.difference(now):
+            if w in old:
+                now[w] = old[w]
+            else:
+                new.add(w)
+        ones = {"Ġ" + p: p for p in plain}
+        walk = sorted(new.union(ones))
+        for w, entry in zip(walk, self._encoded(walk), strict=True):
+            if w in new:
+                now[w] = entry
+            if w in ones:
+                pieces[ones[w]] = entry
 
     @staticmethod
     def _join(found: list[Entry]) -> Entry:
@@ -237,17 +297,17 @@ class Codec:
         if len(self.pieces) > self.max_pieces:
             self.old_pieces, self.pieces = self.pieces, {}
         now, old = self.pieces, self.old_pieces
-        cut = {}
-        for p in pieces:
-            if p in now:
-                continue
+        plain, cut = [], {}
+        for p in pieces.difference(now):
             if p in old:
                 now[p] = old[p]
+            elif p.isalpha() and p.isascii():
+                plain.append(p)
             elif not p or p == "\n" or p[p[0] == "\n"].isspace():
                 now[p] = None
             else:
                 cut[p] = self._cut(p if p[0] == "\n" else " " + p)
-        self._learn_words({w for ws in cut.values() for w in ws})
+        self._learn_words({w for ws in cut.values() for w in ws}, plain)
         words = self.words
         for p, ws in cut.items():
             now[p] = self._join([words[w] for w in ws])
@@ -306,7 +366,25 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-held_by("bpe", codec.cache_clear)
+def _forget() -> None:
+    if codec.cache_info().currsize:
+        codec.cache_clear()
+        gc.collect()  # states refer to each other
+
+
+held_by("bpe", _forget)
+
+
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Without the collector of cycles, which would go through all tables again and again; entries form none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 def _kernel(path: str, want: tuple[str, ...], kept: tuple[str, ...], text: str):
@@ -316,12 +394,13 @@ def _kernel(path: str, want: tuple[str, ...], kept: tuple[str, ...], text: str):
         for batch in batches:
             for part in text_chunks(batch, text, CHUNK):
                 n, ids, back = [], [], []
-                for found in c.round_trip(part.column(part.schema.get_field_index(text)).to_pylist()):
-                    n.append(sum([x[2] for x in found]))
-                    if "ids" in want:
-                        ids.append(",".join([x[0] for x in found if x[2]]))
-                    if "decoded" in want:
-                        back.append(b"".join([x[1] for x in found]).decode("utf-8", "replace"))
+                with _no_cycles():
+                    for found in c.round_trip(part.column(part.schema.get_field_index(text)).to_pylist()):
+                        n.append(sum([x[2] for x in found]))
+                        if "ids" in want:
+                            ids.append(",".join([x[0] for x in found if x[2]]))
+                        if "decoded" in want:
+                            back.append(b"".join([x[1] for x in found]).decode("utf-8", "replace"))
                 cols = [part.column(part.schema.get_field_index(k)) for k in kept] + [pa.array(n, pa.int64())]
                 cols += [pa.array(ids, pa.string())] * ("ids" in want) + [pa.array(back, pa.string())] * ("decoded" in want)
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, "n_tokens", *want])
