@@ -163,6 +163,31 @@ def test_near_duplicates_are_the_exact_components(spark, n, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == {i: (sizes[i], comp[i], comp[i] == i) for i in range(len(texts))}
 
 
+def test_rounds_carry_only_members_that_may_still_link(spark, monkeypatch):
+    rng = random.Random(12)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for i in range(70):  # one large group of copies, from near the base to too far from all others
+        w = list(base[: rng.choice([162, 175, 200])])
+        for k in rng.sample(range(len(w)), i % 15):
+            w[k] = f"x{i}_{k}"
+        texts.append(" ".join(w))
+    rows, keep = [], neardup.Stash.keep
+
+    def counted(stash, df, label):
+        out = keep(stash, df, label)
+        if label in ("fresh", "lead", "named"):
+            rows.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(neardup.Stash, "keep", counted)
+    monkeypatch.setattr(neardup, "FIRST_LEADERS", 1)
+    sizes, comp = brute_components(texts, 4, 80)
+    out = neardup.near_duplicates(docs_of(spark, texts), 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == {i: (sizes[i], comp[i]) for i in range(len(texts))}
+    rounds = [(rows[i][1], rows[i + 1][1], rows[i + 2][1]) for i in range(len(rows) - 2) if rows[i][0] == "fresh" and rows[i + 1][0] == "lead"]
+    assert rounds and all(carried == fresh - lead for fresh, lead, carried in rounds)
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (None, "z z"), (3, None)], "doc_id bigint, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in neardup.near_duplicates(df.withColumn("digest", F.lit(1)).withColumn("rep", F.lit(2))).collect())

@@ -297,13 +297,14 @@ def _groups(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent:
 
     leaders = FIRST_LEADERS
     while True:
-        # In a bucket whose members have one leader, members can do without leading if their own items rule out even the
-        # smallest partner: what they share of those has been counted above.
+        # In a bucket whose members have one leader, a member whose own items rule out even the smallest partner has no
+        # partner left there: what members share of those items has been counted above.  It leaves the bucket.
         fresh = member.where(~(F.col("closed") & ~within("size", "own", "low")))
         minors = fresh.where("comp <> main").groupBy("key").agg(F.count(F.lit(1)).alias("minors"))
-        fresh = stash.keep(fresh.join(minors, "key").select("key", "rep", "size", "comp", "main", "ref", "own", "minors"), "fresh")
+        fresh = stash.keep(fresh.join(minors, "key").drop("low", "closed"), "fresh")
+        stash.drop(member)
         if fresh.isEmpty():
-            stash.drop(member, sets, fresh)
+            stash.drop(sets, fresh)
             return comp
         # The members nearest to the reference lead first, as others most likely link to them; members outside the
         # main component lead when they have become few.  Who has led meets nobody again.
@@ -313,11 +314,10 @@ def _groups(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent:
         lead = stash.keep(lead.select("key", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "comp", "ref", "own")]), "lead")
         apart = (F.col("comp") != F.col("l_comp")) & alike("size", "l_size") & (F.col("ref") != F.col("l_rep")) & (F.col("rep") != F.col("l_ref"))
         bound = (F.col("ref") != F.col("l_ref")) | (within("size", "own", "l_size") & within("l_size", "l_own", "size"))
-        pairs = lead.join(member, "key").where(apart & bound)
+        pairs = lead.join(fresh, "key").where(apart & bound)
         pairs = stash.keep(pairs.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct(), "pairs")
         comp = joined(comp, pairs)
-        rest = member.join(lead.select("key", F.col("l_rep").alias("rep")), ["key", "rep"], "left_anti")
-        rest, before = unsettled(rest, comp), member
-        stash.drop(before, fresh, lead)
-        member = rest
+        rest = fresh.drop("minors").join(lead.select("key", F.col("l_rep").alias("rep")), ["key", "rep"], "left_anti")
+        member = unsettled(rest, comp)
+        stash.drop(fresh, lead)
         leaders *= 4
