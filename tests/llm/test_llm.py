@@ -124,6 +124,16 @@ def test_token_counts(spark):
     assert token_counts.at_limits(empty).count() == 0 and token_counts.at_limits(empty, [5]).first().share_within is None
 
 
+def test_counts_encode_a_word_of_letters_without_a_cut():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    c, text = bpe.Codec(path), "Once the quick foxes jump over the lazy dogs"
+    c._cut = None  # not called
+    n = sum(x[2] for x in next(c.round_trip([text])))
+    assert n == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+
+
 # near-duplicates ----------------------------------------------------------------------------------------------------
 
 
