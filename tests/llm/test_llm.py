@@ -198,6 +198,33 @@ def test_rounds_carry_only_members_that_may_still_link(spark, monkeypatch):
     assert rounds and all(carried == fresh - lead for fresh, lead, carried in rounds)
 
 
+def test_texts_that_share_a_passage_are_not_compared_one_by_one(spark, monkeypatch):
+    rng = random.Random(21)
+    passage, texts = [f"p{i}" for i in range(80)], []
+    for i in range(150):
+        tail = [f"t{i}_{k}" for k in range(rng.randint(15, 120))]
+        texts.append(" ".join(passage + tail))
+        if i % 10 == 0:  # chains of copies, and copies that are just too far
+            for step in (1, 2, 3):
+                tail[-4 * step] = f"x{i}_{step}"
+                texts.append(" ".join(passage + tail))
+            texts.append(" ".join(passage + tail[: len(tail) // 2]))
+    rows, keep = {"pairs": 0, "about": 0}, neardup.Stash.keep
+
+    def counted(stash, df, label):
+        out = keep(stash, df, label)
+        if label in rows:
+            rows[label] += out.count()
+        return out
+
+    monkeypatch.setattr(neardup.Stash, "keep", counted)
+    monkeypatch.setattr(neardup, "FIRST_LEADERS", 1)
+    sizes, comp = brute_components(texts, 4, 80)
+    out = neardup.near_duplicates(docs_of(spark, texts).repartition(3), 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == {i: (sizes[i], comp[i]) for i in range(len(texts))}
+    assert rows["pairs"] < 4 * len(texts), rows
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (None, "z z"), (3, None)], "doc_id bigint, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in neardup.near_duplicates(df.withColumn("digest", F.lit(1)).withColumn("rep", F.lit(2))).collect())

@@ -10,7 +10,7 @@
     with one leader, links are grouped by union-find, and a bucket whose members then agree on their group is done.
     In the others more members become leaders, in growing numbers, until the bucket is settled, so
     every pair of a bucket is compared, already connected, or too far apart by its items beside those of a common
-    leader, whatever the size of the bucket.
+    leader, whatever the size of the bucket.  Buckets whose members have several leaders are given a common one.
 4.  A pair is a link only if its full sets confirm it.
 """
 
@@ -266,22 +266,34 @@ def _groups(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent:
     # link meets in an index over the rarest of those items (a class of s items, t of them its own, must share all but
     # (100 - percent) % of s, so one of its first (100 - percent) % of s + 1 own items), and remains if the shared ones
     # and those outside the index would do.  Only leaders met in open buckets matter.
-    about = star.select(F.col("b").alias("rep"), F.col("a").alias("ref"), "size", "linked", "rest")
+    def indexed(about: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """How many own items the classes of each reference have, and the pairs ``(a, b)`` that remain by the index.
+
+        ``about`` has ``(ref, rep, size, minor, comp, rest)``, where ``rest`` are items beside those of the reference that
+        are not yet told from what most hold.  Pairs without a minor class, or of one ``comp``, are left out.
+        """
+        spare = about.select("ref", "rep", "size", "minor", F.col("comp").alias("side"), F.explode("rest").alias("x"))
+        tally = spare.groupBy("ref", "x").agg(F.count(F.lit(1)).alias("c")).join(about.groupBy("ref").agg(F.count(F.lit(1)).alias("k")), "ref")
+        spare = stash.keep(spare.join(tally.where("2 * c <= k").select("ref", "x", "c"), ["ref", "x"]), "spare")
+        own = stash.keep(spare.groupBy("ref", "rep").agg(F.count(F.lit(1)).alias("own")), "own")
+        rarest = spare.withColumn("place", F.row_number().over(Window.partitionBy("ref", "rep").orderBy("c", "x")))
+        room = F.floor(F.col("size") * (100 - percent) / 100) + 1
+        rarest = rarest.where((F.col("c") > 1) & (F.col("place") <= room)).join(own, ["ref", "rep"])
+        rarest = rarest.select("ref", "x", "rep", "size", "minor", "side", "own", F.greatest(F.lit(0), F.col("own") - room).alias("out"))
+        rarest = stash.keep(rarest, "rarest")
+        left = rarest.where("minor").select("ref", "x", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "side", "own", "out")])
+        met = left.join(rarest, ["ref", "x"]).where((F.col("side") != F.col("l_side")) & alike("size", "l_size"))
+        met = met.groupBy("ref", "l_rep", "rep", "l_size", "size", "l_own", "own", "l_out", "out").agg(F.count(F.lit(1)).alias("c"))
+        most = F.least(F.col("c") + F.col("l_out") + F.col("out"), F.col("own"), F.col("l_own"))
+        met = met.where(within("size", "own", "l_size", most) & within("l_size", "l_own", "size", most))
+        met = stash.keep(met.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct(), "pairs")
+        stash.drop(spare, rarest)
+        return own, met
+
+    ahead = F.when(F.col("linked"), F.col("a")).otherwise(F.col("b"))
+    about = star.select(F.col("b").alias("rep"), F.col("a").alias("ref"), "size", (~F.col("linked")).alias("minor"), ahead.alias("comp"), "rest")
     about = stash.keep(about.join(open_.select("ref").distinct(), "ref", "left_semi"), "about")
-    spare = about.select("ref", "rep", "size", "linked", F.explode("rest").alias("x"))
-    tally = spare.groupBy("ref", "x").agg(F.count(F.lit(1)).alias("c")).join(about.groupBy("ref").agg(F.count(F.lit(1)).alias("k")), "ref")
-    spare = stash.keep(spare.join(tally.where("2 * c <= k").select("ref", "x", "c"), ["ref", "x"]), "spare")
-    own = stash.keep(spare.groupBy("rep").agg(F.count(F.lit(1)).alias("own")), "own")
-    rarest = spare.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("c", "x")))
-    room = F.floor(F.col("size") * (100 - percent) / 100) + 1
-    rarest = rarest.where((F.col("c") > 1) & (F.col("place") <= room)).join(own, "rep")
-    rarest = stash.keep(rarest.select("ref", "x", "rep", "size", "linked", "own", F.greatest(F.lit(0), F.col("own") - room).alias("out")), "rarest")
-    left = rarest.where("NOT linked").select("ref", "x", *[F.col(c).alias(f"l_{c}") for c in ("rep", "size", "own", "out")])
-    met = left.join(rarest, ["ref", "x"]).where((F.col("rep") != F.col("l_rep")) & alike("size", "l_size"))
-    met = met.groupBy("l_rep", "rep", "l_size", "size", "l_own", "own", "l_out", "out").agg(F.count(F.lit(1)).alias("c"))
-    most = F.least(F.col("c") + F.col("l_out") + F.col("out"), F.col("own"), F.col("l_own"))
-    met = met.where(within("size", "own", "l_size", most) & within("l_size", "l_own", "size", most))
-    met = stash.keep(met.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct(), "pairs")
+    own, met = indexed(about)
 
     def joined(comp: DataFrame, pairs: DataFrame) -> DataFrame:
         """Components after the links among ``pairs``; those known so far count as links themselves."""
@@ -291,9 +303,9 @@ def _groups(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent:
         return after
 
     comp = joined(comp, met)
-    member = open_.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    member = open_.join(own.drop("ref"), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     member, before = unsettled(member, comp), open_
-    stash.drop(before, star, about, spare, own, rarest)
+    stash.drop(before, star, about, own)
 
     leaders = FIRST_LEADERS
     while True:
@@ -321,3 +333,26 @@ def _groups(stash: Stash, base: DataFrame, classes: DataFrame, n: int, percent:
         member = unsettled(rest, comp)
         stash.drop(fresh, lead)
         leaders *= 4
+        # Classes of several leaders that are still together share, say, a passage.  Such buckets with what other buckets
+        # they share classes with form an area, whose classes get one leader as their reference and an index of their own.
+        mixed = member.where("NOT closed")
+        if mixed.isEmpty():
+            continue
+        bucket = F.concat(F.lit("bucket "), F.col("key").cast("string")).cast("binary")
+        area = components(mixed.select(bucket.alias("u"), F.col("rep").alias("v"))).select(F.col("v").alias("rep"), F.col("comp").alias("area"))
+        each = stash.keep(mixed.select("rep", "size", "pull", "ref", "linked", "comp").distinct().join(area, "rep"), "areas")
+        hub = each.groupBy("area").agg(F.max(F.struct("pull", "ref", "linked", "comp")).alias("hub"))
+        hub = each.join(hub, "area").select("rep", "size", "pull", "comp", F.col("hub.ref").alias("hub"), (F.col("comp") != F.col("hub.comp")).alias("minor"))
+        hub = stash.keep(hub, "hubs")
+        star = hub.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"), "size", "pull")
+        star = stash.keep(verified(star, rest=True), "star")
+        about = star.select(F.col("b").alias("rep"), F.col("a").alias("ref"), "size", "rest").join(hub.select("rep", "minor", "comp"), "rep")
+        about = stash.keep(about, "about")
+        own, met = indexed(about)
+        comp = joined(comp, met.union(star.where("linked").select("a", "b")))
+        before = member
+        member = member.withColumnRenamed("own", "known").join(hub.select("rep", "hub"), "rep", "left")
+        member = member.withColumn("ref", F.when(F.col("closed"), F.col("ref")).otherwise(F.col("hub"))).join(own, ["ref", "rep"], "left")
+        member = member.withColumn("own", F.when(F.col("closed"), F.col("known")).otherwise(F.coalesce("own", F.lit(0))))
+        member = unsettled(member.drop("known", "hub"), comp)
+        stash.drop(before, each, hub, star, about, own, met)
